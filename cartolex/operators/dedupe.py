@@ -82,10 +82,16 @@ def spatial_dedupe(
             .select(F.col("_a_rank.id").alias("_id"))
             .distinct()
         )
-        winners = durable(offers.join(beaten, F.col("_rank.id") == F.col("_id"), "left_anti"))
-        kept_rounds.append(winners)
-        closed = _within(still_open, winners, radius_m).select(F.col("_rank.id").alias("_id")).distinct()
-        still_open = durable(still_open.join(closed, F.col("_rank.id") == F.col("_id"), "left_anti"))
+        unbeaten = offers.join(beaten, F.col("_rank.id") == F.col("_id"), "left_anti")
+        # ``_won`` is true for a winner, false for a row near one, NULL while undecided.
+        decided = (
+            _within(still_open, unbeaten, radius_m)
+            .groupBy(F.col("_rank.id").alias("_id"))
+            .agg(F.bool_or(F.col("_rank.id") == F.col("_a_rank.id")).alias("_won"))
+        )
+        state = durable(still_open.join(decided, F.col("_rank.id") == F.col("_id"), "left").drop("_id"))
+        kept_rounds.append(state.filter("_won"))
+        still_open = state.filter("_won IS NULL").drop("_won")
     winners = None
     for part in kept_rounds:
         ids = part.select(F.col("_rank.id").alias(id), F.lit(True).alias("kept"))
