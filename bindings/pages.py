@@ -1 +1,211 @@
-"""Bindings."""
+"""Page-corpus jobs on the web pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bindings import query, table
+from cartolex.functions.html import BLOCKS, ENTITIES, HIDDEN
+from cartolex.functions.text import host_of
+from cartolex.operators.corpus import (
+    crawl_frontier,
+    group_fingerprint,
+    page_links,
+    page_text,
+    page_usable,
+    policy_join,
+    polite_schedule,
+)
+from cartolex.vocab import rules
+
+_WS = "[\\s\\x0B\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _decode_sql(expr: str) -> str:
+    for entity, char in ENTITIES:
+        expr = f"replace({expr}, {quote(entity)}, {quote(char)})"
+    return expr
+
+
+def _text_sql(html: str = "html") -> str:
+    c = f"regexp_replace({html}, '<!--.*?-->', '', 'gs')"
+    for tag in HIDDEN:
+        c = f"regexp_replace({c}, '<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', '', 'gis')"
+    c = f"regexp_replace({c}, '</({BLOCKS})\\s*>|<br\\s*/?>', chr(10), 'gi')"
+    c = _decode_sql(f"regexp_replace({c}, '<[^>]*>', '', 'gs')")
+    c = f"regexp_replace({c}, '[ \\t\\f\\x0B\u00a0]+', ' ', 'g')"
+    c = f"regexp_replace({c}, '{_WS}*\\n{_WS}*', chr(10), 'g')"
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(
+    "page_text",
+    f"SELECT page_id, length(text) AS chars, sha256(text) AS hash FROM (SELECT page_id, {_text_sql()} AS text FROM pages)",
+)
+def texts(spark, folder):
+    return page_text(table(spark, folder, "pages")).select("page_id", F.length("text").cast("bigint").alias("chars"), "hash")
+
+
+_ANCHOR = """<a\\s[^>]*?href\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s>"'']+)[^>]*>.*?</a\\s*>"""
+_HREF = """^<a\\s[^>]*?href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>"'']+))"""
+
+
+def _encode_sql(expr: str) -> str:
+    expr = f"url_encode({expr})"
+    for ch in "!$&'()*+,/:;=?@[]|":
+        expr = f"replace({expr}, '%{ord(ch):02X}', {quote(ch)})"
+    return f"replace({expr}, '%25', '%')"
+
+
+# All links of the test pages are either rooted paths or absolute addresses.
+LINKS_SQL = f"""
+found AS (SELECT page_id, url AS page_url, regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(?is){_ANCHOR}') AS a FROM pages),
+each AS (SELECT page_id, page_url, unnest(a) AS a, generate_subscripts(a, 1) - 1 AS pos FROM found),
+parts AS (
+  SELECT page_id, page_url, pos, trim({_decode_sql(f"regexp_extract(a, '(?is){_HREF}', 1) || regexp_extract(a, '(?is){_HREF}', 2) || regexp_extract(a, '(?is){_HREF}', 3)")}) AS href,
+         regexp_replace({_decode_sql("regexp_replace(a, '<[^>]*>', '', 'gs')")}, '^{_WS}+|{_WS}+$', '', 'g') AS text,
+         regexp_extract(page_url, '^(https?://[^/?#]*)', 1) AS origin
+  FROM each),
+resolved AS (
+  SELECT *, CASE WHEN href LIKE 'http%://%' THEN regexp_extract(href, '^(https?://[^/?#]*)', 1) ELSE origin END AS site,
+         CASE WHEN href LIKE 'http%://%' THEN regexp_extract(href, '^https?://[^/?#]*([^#]*)', 1) ELSE regexp_replace(href, '#.*$', '') END AS rest
+  FROM parts),
+links AS (
+  SELECT page_id, page_url, pos, href, text, lower(site) || {_encode_sql("CASE WHEN rest = '' THEN '/' ELSE rest END")} AS url,
+         regexp_replace(regexp_extract(lower(origin), '^https?://(.*)', 1), '^www\\.', '') AS host
+  FROM resolved
+  WHERE regexp_replace(lower(site), '^https?://(www\\.)?', '') = regexp_replace(lower(origin), '^https?://(www\\.)?', ''))"""
+
+
+@query("page_links", f"WITH {LINKS_SQL} SELECT page_id, pos, href, text, url FROM links")
+def links(spark, folder):
+    out = page_links(table(spark, folder, "pages"), "page_id")
+    return out.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "text", "url")
+
+
+LINK_RULES = [("/the|\\bthe\\b", "coffee"), ("[aeiou]nd|tion", "menu"), (".", "shop")]
+
+
+@query(
+    "crawl_frontier",
+    f"""WITH {LINKS_SQL},
+classed AS (
+  SELECT host AS site, url, page_id, pos, length(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)) AS size,
+         lower(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) || ' ' || text) AS hay, page_url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path
+  FROM links),
+kinds AS (
+  SELECT *, CASE WHEN regexp_matches(hay, '/the|\\bthe\\b') THEN 'coffee' WHEN regexp_matches(hay, '[aeiou]nd|tion') THEN 'menu' ELSE 'shop' END AS kind
+  FROM classed WHERE url <> regexp_replace(page_url, '#.*$', '')
+    AND NOT regexp_matches(path, {quote(rules.LINK_SKIP_PATH.replace('(?i)', ''))}, 'i') AND NOT regexp_matches(path, {quote(rules.LINK_SKIP_EXT.replace('(?i)', ''))}, 'i')),
+firsts AS (SELECT * FROM kinds QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY page_id, pos) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY CASE kind WHEN 'coffee' THEN 0 WHEN 'menu' THEN 1 ELSE 3 END, size, page_id, pos, url) AS rank FROM firsts)
+SELECT site, rank, kind, url FROM ranked WHERE rank <= 6""",
+)
+def frontier(spark, folder):
+    found = page_links(table(spark, folder, "pages"), "page_id")
+    out = crawl_frontier(found, host_of(F.col("page_url")), ["page_id", "pos"], 6, LINK_RULES)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(
+    "policy_join",
+    """
+WITH p AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') AS host,
+         regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS path FROM pages),
+hosts AS (SELECT host, min(page_id) AS first FROM p GROUP BY 1),
+policy AS (
+  SELECT host, '/en' AS prefix, 0 AS allow FROM hosts UNION ALL SELECT host, '/en/7', 1 FROM hosts
+  UNION ALL SELECT host, '/fr', 0 FROM hosts UNION ALL SELECT host, '/fr', 1 FROM hosts UNION ALL SELECT host, '/', 0 FROM hosts WHERE host LIKE 'blog.%'),
+hits AS (SELECT page_id, max(length(prefix) * 10 + allow) % 10 AS allow FROM p JOIN policy USING (host) WHERE starts_with(path, prefix) GROUP BY 1)
+SELECT page_id, CASE WHEN host LIKE 'm.%' THEN true WHEN host LIKE 'spam%' THEN false ELSE coalesce(allow, 1) = 1 END AS allowed
+FROM p LEFT JOIN hits USING (page_id)""",
+)
+def policy(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
+    blogs = F.when(F.col("host").startswith("blog."), F.struct(F.lit("/").alias("prefix"), F.lit(False).alias("allow")))
+    listed = [("/en", False), ("/en/7", True), ("/fr", False), ("/fr", True)]
+    rows = [F.struct(F.lit(p).alias("prefix"), F.lit(a).alias("allow")) for p, a in listed]
+    policy = hosts.select("host", F.inline(F.array_compact(F.array(*rows, blogs))))
+    status = hosts.select(
+        "host", F.when(F.col("host").startswith("m."), 404).when(F.col("host").startswith("spam"), 503).otherwise(200).alias("code")
+    )
+    return policy_join(pages, "page_id", "url", policy, status).select("page_id", "allowed")
+
+
+@query(
+    "polite_schedule",
+    """
+WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') AS host FROM pages)
+SELECT page_id, host, (row_number() OVER (PARTITION BY host ORDER BY page_id) - 1)
+   * CASE WHEN host LIKE 'blog.%' THEN 30.0 WHEN host LIKE 'm.%' THEN 5.0 ELSE 2.0 END::DOUBLE AS start_s FROM p""",
+)
+def schedule(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
+    delay = F.when(F.col("host").startswith("blog."), 90.0).when(F.col("host").startswith("m."), 5.0)
+    delays = hosts.select("host", delay.alias("delay_s")).filter("delay_s IS NOT NULL")
+    out = polite_schedule(pages, "url", ["page_id"], 2.0, delays, chunk=F.floor(F.col("page_id") / 100_000))
+    return out.select("page_id", "host", "start_s")
+
+
+@query(
+    "platform_detect",
+    """
+SELECT page_id, CASE WHEN regexp_matches(html, 'track\\([0-9]*0\\)') THEN 'shopify' WHEN regexp_matches(html, 'lang="fr"') THEN 'woocommerce'
+   WHEN regexp_matches(html, '<!-- ad [0-9]*7 -->') THEN 'square' ELSE 'other' END AS platform FROM pages""",
+)
+def platforms(spark, folder):
+    from cartolex.operators.corpus import detect_platform
+
+    marked = [(r"track\([0-9]*0\)", "shopify"), ('lang="fr"', "woocommerce"), ("<!-- ad [0-9]*7 -->", "square")]
+    return detect_platform(table(spark, folder, "pages"), markers=marked).select("page_id", "platform")
+
+
+@query(
+    "platform_markers",
+    """
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'shopify' WHEN page_id % 4 = 1 THEN 'woocommerce' WHEN page_id % 4 = 2 THEN 'square' ELSE 'other' END AS platform
+FROM pages""",
+)
+def markers(spark, folder):
+    from cartolex.operators.corpus import detect_platform
+
+    kind = F.col("page_id") % 4
+    marker = (
+        F.when(kind == 0, '<script src="https://CDN.shopify.com/s/files/1.js"></script>')
+        .when(kind == 1, '<body class="theme woocommerce">')
+        .when(kind == 2, '<a href="https://shop.square.site/">')
+        .otherwise("")
+    )
+    pages = table(spark, folder, "pages").withColumn("html", F.concat(marker, F.col("html")))
+    return detect_platform(pages).select("page_id", "platform")
+
+
+@query(
+    "site_fingerprint",
+    """
+WITH p AS (SELECT regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') AS site, url || '#' || sha256(html) AS part FROM pages)
+SELECT site, count(*) AS parts, substr(sha256(string_agg(part, chr(10) ORDER BY part)), 1, 16) AS fingerprint FROM p GROUP BY 1""",
+)
+def fingerprint(spark, folder):
+    pages = table(spark, folder, "pages").withColumn("site", host_of(F.col("url")))
+    return group_fingerprint(pages, ["site"], F.concat_ws("#", "url", F.sha2("html", 256)))
+
+
+@query(
+    "usable_pages",
+    f"""
+SELECT page_id, length(trim(text)) > 500 AND kind <> 'products-json' AS usable
+FROM (SELECT page_id, {_text_sql()} AS text, CASE WHEN regexp_matches(html, 'lang="de"') THEN 'products-json' ELSE 'home' END AS kind FROM pages)""",
+)
+def usable(spark, folder):
+    pages = page_text(table(spark, folder, "pages"))
+    kind = F.when(F.col("html").contains('lang="de"'), F.lit("products-json")).otherwise(F.lit("home"))
+    return pages.select("page_id", page_usable(F.col("text"), kind, 500).alias("usable"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # White space as the web platform defines it: wider than Java's ``\s``.
 WS_CHARS = r"\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_CHARS}]"
-_LIGATURE_RANGES = ((0x0100, 0x024F), (0xFB00, 0xFB06))
+_LIGATURE_RANGES = ((0x0132, 0x0133), (0xFB00, 0xFB06))
 
 
 def _plain(ch: str) -> str:
@@ -81,7 +81,8 @@ def singularize(word: Column) -> Column:
     size = F.length(word)
     chop = lambda n: F.substring(word, F.lit(1), size - n)
     return (
-        F.when(word.endswith("ies") & (size > 4), F.concat(chop(3), F.lit("y")))
+        F.when(~word.endswith("s"), word)
+        .when(word.endswith("ies") & (size > 4), F.concat(chop(3), F.lit("y")))
         .when(word.rlike("(ch|sh|x|ss)es$"), chop(2))
         .when(word.endswith("oes") & (size > 4), chop(2))
         .when(word.endswith("s") & ~word.endswith("ss") & (size > 3), chop(1))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartolex.functions.html import anchors, resolve_url, visible_text
+from cartolex.functions.html import anchors, resolve_links, visible_text
 from cartolex.functions.text import first_match, host_of, path_of, short_hash
 from cartolex.operators.keep import keep_first
 from cartolex.operators.running import with_running
@@ -29,11 +29,10 @@ def page_usable(text: Column, kind: Column, min_chars: int = 40) -> Column:
 
 def page_links(pages: DataFrame, id: str, url: str = "url", html: str = "html") -> DataFrame:
     """(id, page_url, pos, href, text, url): same-site links in document order."""
-    found = pages.select(F.col(id), F.col(url).alias("page_url"), F.posexplode(anchors(F.col(html))).alias("pos", "a"))
-    links = found.select(id, "page_url", "pos", "a.href", "a.text").withColumn(
-        "url", resolve_url(F.col("page_url"), F.col("href"))
-    )
-    return links.filter(F.col("url").isNotNull() & (host_of(F.col("url")) == host_of(F.col("page_url"))))
+    found = resolve_links(F.col(url), anchors(F.col(html)))
+    links = pages.select(F.col(id), F.col(url).alias("page_url"), F.posexplode(found).alias("pos", "a"))
+    same_site = host_of(F.col("a.url")) == host_of(F.col("page_url"))
+    return links.filter(same_site).select(id, "page_url", "pos", "a.href", "a.text", "a.url")
 
 
 def link_kind(path: Column, text: Column, link_rules: Sequence[tuple[str, str]] = tuple(rules.LINK_RULES)) -> Column:
@@ -77,9 +76,18 @@ def crawl_frontier(
     )
 
 
-def detect_platform(pages: DataFrame, html: str = "html", pinned: str | None = None) -> DataFrame:
-    """Add ``platform``: a pinned value, else the first shop-software marker, else ``other``."""
-    found = F.coalesce(first_match(F.substring(F.col(html), 1, rules.PLATFORM_CHARS), rules.PLATFORM_RULES), F.lit("other"))
+def detect_platform(
+    pages: DataFrame,
+    html: str = "html",
+    pinned: str | None = None,
+    markers: Sequence[tuple[str, str]] = tuple(rules.PLATFORM_RULES),
+) -> DataFrame:
+    """Add ``platform``: a pinned value, else the first shop-software marker, else ``other``.
+
+    Markers are looked for in the first 400,000 characters, as shop software
+    puts them into the page head.
+    """
+    found = F.coalesce(first_match(F.substring(F.col(html), 1, rules.PLATFORM_CHARS), list(markers)), F.lit("other"))
     return pages.withColumn("platform", F.coalesce(F.col(pinned), found) if pinned else found)
 
 

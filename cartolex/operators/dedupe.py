@@ -11,7 +11,9 @@ from cartolex.functions.geo import chord_km, cube_cell, haversine_km
 from cartolex.session import durable
 
 CELL = ["_x", "_y", "_z"]
-_STEPS = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
+# The cell and its 26 neighbours.
+_REACH = """inline(flatten(transform(sequence(_x - 1, _x + 1), x -> flatten(transform(sequence(_y - 1, _y + 1),
+    y -> transform(sequence(_z - 1, _z + 1), z -> named_struct('_x', x, '_y', y, '_z', z)))))))"""
 
 
 def _with_cell(df: DataFrame, radius_m: float) -> DataFrame:
@@ -22,13 +24,12 @@ def _with_cell(df: DataFrame, radius_m: float) -> DataFrame:
 
 def _around(anchors: DataFrame) -> DataFrame:
     """Each anchor once per cell it can reach."""
-    cells = F.array(*[F.struct((F.col("_x") + dx).alias("_x"), (F.col("_y") + dy).alias("_y"), (F.col("_z") + dz).alias("_z")) for dx, dy, dz in _STEPS])
     return anchors.select(
         "_key",
         F.col("_rank").alias("_a_rank"),
         F.col("_lng").alias("_a_lng"),
         F.col("_lat").alias("_a_lat"),
-        F.inline(cells),
+        F.expr(_REACH),
     )
 
 

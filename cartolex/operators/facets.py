@@ -179,7 +179,10 @@ def facet_options(index: DataFrame, dims: Sequence[str] = ARRAY_DIMS, flag: str
 
     One pass over the index whatever the number of dimensions.
     """
-    rows = [F.transform(F.col(d), lambda v, d=d: F.struct(F.lit(d).alias("dim"), v.alias("value"))) for d in dims]
+    def tagged(dim: str) -> Column:
+        return F.transform(F.col(dim), lambda v: F.struct(F.lit(dim).alias("dim"), v.alias("value")))
+
+    rows = [tagged(d) for d in dims]
     if flag:
         none = F.array().cast("array<struct<dim:string,value:string>>")
         rows.append(F.when(F.col(flag), F.array(F.struct(F.lit(flag).alias("dim"), F.lit("true").alias("value")))).otherwise(none))

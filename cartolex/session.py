@@ -49,3 +49,14 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the checkpoint folder; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A small table in one row group is read by a single task, which would then
+    do all the text work after it. A scan that already has enough splits, as
+    any large one does, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
