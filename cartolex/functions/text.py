@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Sequence
 from functools import cache
 
 from pyspark.sql import Column
@@ -44,6 +45,11 @@ def _ligatures() -> tuple[tuple[str, str], ...]:
     return tuple(pairs)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_all(c: Column) -> Column:
     """Trim every kind of white space, not only U+0020."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -105,17 +111,25 @@ def clean_url(c: Column) -> Column:
     Port, query, fragment and trailing slashes go. Other schemes and social
     profiles are rejected.
     """
-    raw = trim_all(c)
     # Schemes, and hosts that are profiles rather than sites.
-    other_scheme = raw.rlike(r"(?i)^[a-z][a-z0-9+.-]*:(?!\d)") & ~raw.rlike("(?i)^https?:")
+    other_scheme = r"(?i)^(?!https?:)[a-z][a-z0-9+.-]*:(?!\d)"
     social = r"(^|\.)(instagram|facebook|twitter|x|tiktok|yelp|linktr)\.(com|ee)$"
-    full = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
     shape = r"^(?i:(https?))://(?:[^/?#@]*@)?([^/?#:@\s<>^|%\\]+)(?::\d*)?([^?#]*)"
-    scheme = F.lower(F.regexp_extract(full, shape, 1))
-    host = F.lower(F.regexp_extract(full, shape, 2))
-    path = F.regexp_replace(F.regexp_extract(full, shape, 3), "/+$", "")
-    usable = (raw != "") & ~other_scheme & (host != "") & path.rlike("^(/|$)") & ~host.rlike(social)
-    return F.when(usable, F.concat(scheme, F.lit("://"), host, path))
+
+    def parts(raw: Column) -> Column:
+        full = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+        return F.struct(
+            ((raw != "") & ~raw.rlike(other_scheme)).alias("ok"),
+            F.lower(F.regexp_extract(full, shape, 1)).alias("scheme"),
+            F.lower(F.regexp_extract(full, shape, 2)).alias("host"),
+            F.regexp_replace(F.regexp_extract(full, shape, 3), "/+$", "").alias("path"),
+        )
+
+    def joined(u: Column) -> Column:
+        usable = u["ok"] & (u["host"] != "") & u["path"].rlike("^(/|$)") & ~u["host"].rlike(social)
+        return F.when(usable, F.concat(u["scheme"], F.lit("://"), u["host"], u["path"]))
+
+    return let(let(trim_all(c), parts), joined)
 
 
 def host_of(url: Column) -> Column:
@@ -129,17 +143,22 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
-def first_match(c: Column, rules: list[tuple[str, str]]) -> Column:
+def first_match(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Value of the first rule whose pattern occurs in ``c``; NULL when none does."""
-    out = F
-    for pattern, value in rules:
-        out = out.when(c.rlike(pattern), F.lit(value))
-    return out
+
+    def choose(x: Column) -> Column:
+        out = F
+        for pattern, value in rules:
+            out = out.when(x.rlike(pattern), F.lit(value))
+        return out
+
+    return let(c, choose)
 
 
-def all_matches(c: Column, rules: list[tuple[str, str]]) -> Column:
+def all_matches(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Values of every matching rule, in rule order, without repeats."""
-    return F.array_distinct(F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(v)) for p, v in rules])))
+    found = let(c, lambda x: F.array(*[F.when(x.rlike(p), F.lit(v)) for p, v in rules]))
+    return F.array_distinct(F.array_compact(found))
 
 
 def extract_or_null(c: Column, pattern: str, group: int = 1) -> Column:
