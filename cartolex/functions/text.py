@@ -56,6 +56,7 @@ def trim_all(c: Column) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
+    """Compatibility-decompose Latin letters and digits; plain ASCII skips the work."""
     source, target = _fold_table()
     pairs = _ligatures()
     folded = F.translate(F.regexp_replace(c, r"[\u0300-\u036f]+", ""), source, target)
@@ -63,7 +64,8 @@ def fold_accents(c: Column) -> Column:
     for ligature, letters in pairs:
         expanded = F.replace(expanded, F.lit(ligature), F.lit(letters))
     has_ligature = c.rlike("[" + "".join(p[0] for p in pairs) + "]")
-    return F.when(has_ligature, expanded).otherwise(folded)
+    plain = F.octet_length(c) == F.length(c)
+    return F.when(plain, c).when(has_ligature, expanded).otherwise(folded)
 
 
 def normalize_text(c: Column) -> Column:

@@ -34,14 +34,19 @@ def fit_counts(base_bytes: Column, sizes: Sequence[Column], max_bytes: int = MAX
         return total + F.greatest(n - 1, F.lit(0))
 
     names = [f"n{i}" for i in range(len(sizes))]
-    start = F.struct(*[F.size(s).alias(n) for n, s in zip(names, sizes)])
+    start = F.struct(*[F.size(s).alias(n) for n, s in zip(names, sizes)], F.lit(False).alias("fits"))
 
     def shrink(state: Column, _: Column) -> Column:
         size = base_bytes.cast("bigint")
         for n, s in zip(names, sizes):
             size = size + list_bytes(s, state[n])
-        smaller = F.struct(*[F.floor(state[n] * F.lit(0.8)).cast("int").alias(n) for n in names])
-        return F.when(size > max_bytes, smaller).otherwise(state)
+        kept = [state[n].alias(n) for n in names]
+        smaller = [F.floor(state[n] * F.lit(0.8)).cast("int").alias(n) for n in names]
+        return (
+            F.when(state["fits"], state)
+            .when(size > max_bytes, F.struct(*smaller, F.lit(False).alias("fits")))
+            .otherwise(F.struct(*kept, F.lit(True).alias("fits")))
+        )
 
     # 0.8 ** 64 of any list a document could hold is below one member.
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, shrink)

@@ -12,7 +12,7 @@ from cartolex.functions.geo import geohash
 from cartolex.functions.numbers import valid_range
 from cartolex.functions.text import normalize_text, normalize_variety, short_hash, trim_all
 from cartolex.operators.keep import cap_per_group, keep_first
-from cartolex.operators.lexicon import lexicon_matches
+from cartolex.operators.lexicon import lexicon_map
 from cartolex.vocab.countries import COUNTRIES
 from cartolex.vocab.enums import (
     FLAVOR_FAMILIES,
@@ -38,22 +38,26 @@ def menu_id(entity: Column, name: Column, category: Column) -> Column:
 
 
 def note_families(items: DataFrame, id: str, notes: Column, lexicon: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((id, families), (id, note) unmapped): families of each item's notes in the order found."""
+    """((id, families), (id, pos, note) unmapped): families of each item's notes in the order found.
+
+    The same notes occur on very many items, so each distinct note is mapped
+    once and joined back.
+    """
     singles = items.select(F.col(id), F.posexplode(notes).alias("pos", "note")).filter("note IS NOT NULL")
-    keyed = singles.withColumn("_note_id", F.struct(F.col(id).alias("id"), "pos"))
-    hits = lexicon_matches(keyed, "_note_id", F.col("note"), lexicon)
-    firsts = hits.groupBy(F.col("_note_id.id").alias(id), "value").agg(
-        F.min(F.struct(F.col("_note_id.pos"), -F.col("size"), F.col("start"))).alias("_at")
-    )
-    families = firsts.groupBy(id).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda v: v["value"]).alias("families")
+    mapped = lexicon_map(singles.select("note").distinct(), "note", F.col("note"), lexicon)
+    found = singles.join(mapped, "note")
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "values")))
+    families = found.groupBy(id).agg(
+        F.array_distinct(F.flatten(F.transform(in_order, lambda n: n["values"]))).alias("families")
     )
-    mapped = hits.select("_note_id").distinct()
-    return families, keyed.join(mapped, "_note_id", "left_anti").select(id, "pos", "note")
+    return families, singles.join(mapped, "note", "left_anti").select(id, "pos", "note")
 
 
 def normalize_items(raw: DataFrame, key: str, entity: str, lexicon: DataFrame, seen_at: Column) -> DataFrame:
-    """Raw items (see ``enrich.ITEM_FIELDS``, unique ``key``) to published item rows."""
+    """Raw items (see ``enrich.ITEM_FIELDS``, unique ``key``) to published item rows.
+
+    ``raw`` is read once for its notes and once for the rest; hand over a stored table.
+    """
     notes = F.coalesce(F.col("notes"), _empty())
     families, _ = note_families(raw, key, notes, lexicon)
     known = list(COUNTRIES)
