@@ -105,7 +105,7 @@ def test_three_runs(spark):
     later[-1] = place("d", "Delta Two", lng=-71.4, site=None)
     pages3 = [page("a", 0, "home", LONG), page("a", 1, "products-json", catalogue("Ethiopia Guji"))]
     three = run(spark, 3, later, pages3, (), two, add=manual)
-    assert by_id(three["actions"], "action") == {"a": "unchanged", "b": "hidden", "d": "updated", "manual-z": "carried"}
+    assert by_id(three["actions"], "action") == {"a": "updated", "b": "hidden", "d": "updated", "manual-z": "carried"}
     assert sorted(r.misses for r in three["items"].filter("entity_id = 'a'").collect()) == [0, 1]
     assert by_id(three["state"], "hidden_runs")["b"] == 1
     assert three["menu"].count() == 0  # no menu page any more, so the menu is gone
