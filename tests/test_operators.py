@@ -121,6 +121,7 @@ def test_box_reaches_the_parquet_scan(spark, tmp_path):
     places = read_places(spark, str(tmp_path / "release={release}" / "places"), "1")
     out = scan_bbox(places, (-71.2, 42.2, -71.0, 42.4), ["cafe"], ["coffee_shop"])
     assert sorted(r.id for r in out.collect()) == ["alt", "in"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(bbox.xmin" in plan
     assert "hierarchy" not in plan
