@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings import query, table
-from bindings.shared import BOX, CODES, FACET_LISTS, INDEX_SQL, ITEMS_SQL, ORIGIN, case, index, items, km, values
+from bindings.shared import BOX, FACET_LISTS, INDEX_SQL, ITEMS_SQL, ORIGIN, case, index, items, km, values
 from cartolex.functions import display
 from cartolex.functions.geo import haversine_km, in_box
 from cartolex.functions.taxonomy import top_of
