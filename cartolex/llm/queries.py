@@ -30,3 +30,35 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
     out = remove_repeats(table(spark, folder, "documents"), length=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from cartolex.llm.bpe import WORDS, decode, encode
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = decode(encode(docs, path, public.PATTERN, WORDS).drop("text"), path, public.PATTERN)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+#: Tokens of a model's context: longer documents are flagged.
+TOKEN_LIMIT = 4096
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from cartolex.llm.token_counts import count_tokens
+
+    out = count_tokens(table(spark, folder, "documents"), public.path("piece_bpe_32k.model"))
+    return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
