@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of one Arrow batch at most: a batch of long texts has to fit beside a Python worker.
 BATCH_ROWS = 2000
 
@@ -58,10 +60,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(folder)
+    # The written table replaces the shuffles it came from, so their files can go at once.
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def column(df: DataFrame, name: str, to: str, kind: str) -> Column:
+    """A column under another name and type. What has both already is left bare: equal exchanges are then seen to be equal."""
+    if name == to and dict(df.dtypes).get(name) == kind:
+        return F.col(name)
+    return F.col(f"`{name}`").cast(kind).alias(to)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -163,11 +178,16 @@ class Spans:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """64-bit numbers as zstd of their byte planes: high bytes that are all alike cost nothing."""
+    """64-bit numbers as zstd of their byte planes, sorted ones as differences: bytes that are all alike cost nothing."""
+    values = values.view(np.uint64)
+    rises = bool((values[1:] >= values[:-1]).all())
+    if rises:
+        values = np.diff(values, prepend=np.uint64(0))
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return bytes([rises]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, n: int, kind=np.uint64) -> np.ndarray:
-    raw = pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(kind).reshape(-1)
+    raw = pa.decompress(blob[1:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).reshape(-1)
+    return (np.cumsum(values, dtype=np.uint64) if blob[0] else values).view(kind)

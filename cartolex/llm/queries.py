@@ -62,3 +62,37 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
     out = count_tokens(table(spark, folder, "documents"), public.path("piece_bpe_32k.model"))
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.decontaminate import find_leaks
+
+    out = find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(listed.cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query("op3_near_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
+
+
+@query("op4_personal_data")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.personal_data import KINDS, find_personal_data
+
+    out = find_personal_data(table(spark, folder, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
