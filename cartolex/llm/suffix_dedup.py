@@ -13,7 +13,7 @@ neighbouring start positions with one anchor (a *block*), its content given by f
    again with one entry for each start position.
 4. The repeats come back to their documents, which lose every covered byte.
 
-Fingerprints have 48 bits beside the 64 bits of the anchor, and 64 beside those of the anchor in the second pass.
+Fingerprints have 48 bits beside the 64 bits of the anchor, and 64 beside 16 of the anchor in the second pass.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import U, buckets_of, constants, flat, longs, mix, pack, pieces, ship, stored, unpack, valid
+from cartolex.llm.common import U, buckets_of, column, constants, flat, longs, mix, pack, pieces, ship, stored, unpack, valid
 
 GRAM = 20
 #: Start positions of one block at most, so that the first and last string cover it.
@@ -36,7 +36,7 @@ HOT = 32
 CHUNK, BATCH = 1 << 20, 16 << 20
 REPEAT, CONTESTED = 1, 2
 _C = constants(7, 16)
-_LOW48 = U((1 << 48) - 1)
+_LOW48, _LOW16 = U((1 << 48) - 1), U((1 << 16) - 1)
 RUNS = "bucket int, n int, anchors binary, contents binary, docs binary, state int"
 FOUND = "doc_id long, content long, state int"
 
@@ -143,7 +143,8 @@ def _array_of(anchors, contents, docs, buckets: int, by_content: bool):
 
 def _deal(by, anchors, contents, docs, state: int, buckets: int):
     bucket = ((by >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-    order = np.lexsort((contents, bucket))
+    # Within a bucket in the order of what it is dealt by: sorted numbers pack well.
+    order = np.lexsort((by if by is anchors else contents, bucket))
     bucket = bucket[order]
     cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -207,7 +208,7 @@ def _index_contested(length: int, buckets: int):
                 data, at = flat(part.column(1))
                 hashes = Hashes(data, at, length)
                 row, p, anchors = _positions(hashes, _members(part.column(2)))
-                held.append((anchors, hashes.content(p), ids[row]))
+                held.append((anchors & _LOW16, hashes.content(p), ids[row]))
                 size += 24 * len(p)
                 if size >= BATCH:
                     yield from _array_of(*map(np.concatenate, zip(*held, strict=True)), buckets, True)
@@ -384,7 +385,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, doc_id: str = "doc_id
     spark = documents.sparkSession
     ship(spark)
     buckets = buckets_of(spark)
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = documents.select(column(documents, doc_id, "doc_id", "bigint"), column(documents, text, "text", "string"))
     named = docs.filter(F.col("doc_id").isNotNull())
 
     def scanned(runs: DataFrame, by_content: bool) -> DataFrame:
@@ -399,7 +400,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, doc_id: str = "doc_id
     )
     lists = lists.select("doc_id", *(F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("whole", "contested")))
     # Both joins read one exchange of the texts.
-    met = named.join(lists.select("doc_id", "contested").hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "contested")
+    met = named.join(lists.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "contested", "whole")
     single = scanned(met.mapInArrow(_index_contested(length, buckets), RUNS), True)
     single = single.filter(F.col("state") == REPEAT).groupBy("doc_id").agg(F.collect_set("content").alias("single"))
     empty = F.lit(None).cast("array<bigint>")
