@@ -96,3 +96,50 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query("op1_warc")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.common import shared_folder
+    from cartolex.llm.warc import read_warc, write_warc
+
+    archive = shared_folder(spark, "warc")
+    write_warc(table(spark, folder, "pages"), archive)
+    out = read_warc(spark, archive, payload=False)
+    return out.select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Grades from 0 to 2; documents stay that are good with this chance.
+GOOD, LEAST_CHANCE = 2, 0.65
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.quality import grades_of, score, train
+
+    docs = table(spark, folder, "documents")
+    model = train(docs, grades_of(table(spark, folder, "labels")))
+    out = score(docs.select("doc_id", "text"), model, GOOD)
+    return out.select("doc_id", "expected_grade", "chance", (F.col("chance") >= LEAST_CHANCE).alias("kept"))
+
+
+@query(
+    "op9_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS q
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.top_k import top_k
+
+    vectors = table(spark, folder, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, scale=64)
