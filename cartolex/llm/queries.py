@@ -143,3 +143,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
     vectors = table(spark, folder, "embeddings")
     return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, scale=64)
+
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op8_url_filter")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.url_filter import host_and_path, judge_urls
+
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    # The number in a page's path is the document that it shows, and documents have labels.
+    shown = F.expr("try_cast(regexp_extract(path, '/([0-9]+)', 1) AS bigint)")
+    numbers = pages.select("page_id", host_and_path(F.col("url"))[1].alias("path")).select("page_id", shown.alias("doc_id"))
+    labels = table(spark, folder, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return judge_urls(pages, numbers.join(labels, "doc_id").select("page_id", "good"), RULES)
