@@ -110,7 +110,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Grades from 0 to 2; documents stay that are good with this chance.
-GOOD, LEAST_CHANCE = 2, 0.65
+GOOD, LEAST_CHANCE = 2, 0.6
 
 
 @query("op5_quality")
