@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings import query, table
-from cartolex.functions.html import BLOCKS, ENTITIES, HIDDEN
-from cartolex.functions.text import host_of
+from cartolex.functions.html import anchors, decode_entities, resolve_links
+from cartolex.functions.text import host_of, normalize_text
 from cartolex.operators.corpus import (
     crawl_frontier,
     group_fingerprint,
@@ -25,17 +25,23 @@ def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# The SQL has lists of its own: a slip in the library's tables must show.
+_REFERENCES = [("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&eacute;", "\u00e9"), ("&amp;", "&")]
+_UNSEEN = ["script", "style", "noscript", "svg", "iframe", "template", "head"]
+_LINES = "p|div|li|h[1-6]|tr|section|article"
+
+
 def _decode_sql(expr: str) -> str:
-    for entity, char in ENTITIES:
+    for entity, char in _REFERENCES:
         expr = f"replace({expr}, {quote(entity)}, {quote(char)})"
     return expr
 
 
 def _text_sql(html: str = "html") -> str:
     c = f"regexp_replace({html}, '<!--.*?-->', '', 'gs')"
-    for tag in HIDDEN:
+    for tag in _UNSEEN:
         c = f"regexp_replace({c}, '<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', '', 'gis')"
-    c = f"regexp_replace({c}, '</({BLOCKS})\\s*>|<br\\s*/?>', chr(10), 'gi')"
+    c = f"regexp_replace({c}, '</({_LINES})\\s*>|<br\\s*/?>', chr(10), 'gi')"
     c = _decode_sql(f"regexp_replace({c}, '<[^>]*>', '', 'gs')")
     c = f"regexp_replace({c}, '[ \\t\\f\\x0B\u00a0]+', ' ', 'g')"
     c = f"regexp_replace({c}, '{_WS}*\\n{_WS}*', chr(10), 'g')"
@@ -151,7 +157,7 @@ def schedule(spark, folder):
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
     delay = F.when(F.col("host").startswith("blog."), 90.0).when(F.col("host").startswith("m."), 5.0)
     delays = hosts.select("host", delay.alias("delay_s")).filter("delay_s IS NOT NULL")
-    out = polite_schedule(pages, "url", ["page_id"], 2.0, delays, chunk=F.floor(F.col("page_id") / 100_000))
+    out = polite_schedule(pages, "url", ["page_id"], 2.0, delays, chunk=F.floor(F.col("page_id") / 100_000), most_s=30.0)
     return out.select("page_id", "host", "start_s")
 
 
@@ -192,7 +198,9 @@ def markers(spark, folder):
     "site_fingerprint",
     """
 WITH p AS (SELECT regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') AS site, url || '#' || sha256(html) AS part FROM pages)
-SELECT site, count(*) AS parts, substr(sha256(string_agg(part, chr(10) ORDER BY part)), 1, 16) AS fingerprint FROM p GROUP BY 1""",
+SELECT site, count(*) AS parts,
+  substr(sha256(count(*) || ':' || sum(CAST('0x' || substr(sha256(part), 1, 15) AS BIGINT)) || ':' || sum(CAST('0x' || substr(sha256(part), 16, 15) AS BIGINT))), 1, 16) AS fingerprint
+FROM p GROUP BY 1""",
 )
 def fingerprint(spark, folder):
     pages = table(spark, folder, "pages").withColumn("site", host_of(F.col("url")))
@@ -209,3 +217,52 @@ def usable(spark, folder):
     pages = page_text(table(spark, folder, "pages"))
     kind = F.when(F.col("html").contains('lang="de"'), F.lit("products-json")).otherwise(F.lit("home"))
     return pages.select("page_id", page_usable(F.col("text"), kind, 500).alias("usable"))
+
+
+@query(
+    "link_paths",
+    """
+WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, CAST(page_id % 5 AS INTEGER) AS up FROM pages),
+c AS (SELECT *, ['a', 'b', 'c', 'd', 'e'][1:5 - up] AS kept FROM p)
+SELECT page_id, lower(site) || '/' || array_to_string(kept, '/') || CASE WHEN len(kept) > 0 THEN '/' ELSE '' END || 'x' || page_id AS url FROM c""",
+)
+def link_paths(spark, folder):
+    """Links with nested dot segments: five folders down, zero to four (and at the root three more) up."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    up = F.array_join(F.array_repeat(F.lit(".."), (F.col("page_id") % 5).cast("int")), "/")
+    target = F.concat(F.lit("/../.././../a/b/./c/d/e/"), F.when(F.length(up) > 0, F.concat(up, F.lit("/"))).otherwise(""), F.lit("x"), F.col("page_id").cast("string"))
+    found = anchors(F.concat(F.lit('<a href="'), target, F.lit('#top">here</a>')))
+    return pages.select("page_id", F.get(resolve_links(F.col("url"), found), F.lit(0))["url"].alias("url"))
+
+
+@query(
+    "entity_text",
+    """
+SELECT page_id, 'Caf' || chr(252) || ' ' || chr(8220) || 'x' || chr(8221) || ' '' &lt; <&nope; ' || chr(128512) || ' '
+   || chr(CAST(192 + page_id % 300 AS INTEGER)) || chr(CAST(913 + page_id % 17 AS INTEGER)) || '&amp;' || length(html) AS text
+FROM pages""",
+)
+def entity_text(spark, folder):
+    """Named, decimal and hexadecimal references, one that is not known, and ampersands that must not be read twice."""
+    number = (F.lit(913) + F.col("page_id") % 17).cast("string")
+    shifting = F.concat(F.lit("&#x"), F.hex(F.lit(192) + F.col("page_id") % 300), F.lit(";&#"), number, F.lit(";&amp;amp;"), F.length("html").cast("string"))
+    text = F.concat(F.lit("Caf&uuml; &ldquo;x&#8221; &#x27; &amp;lt; &lt;&nope; &#x1F600; "), shifting)
+    return table(spark, folder, "pages").select("page_id", decode_entities(text).alias("text"))
+
+
+@query(
+    "folded_keys",
+    """
+SELECT page_id, 'swiss watertm ' || CASE page_id % 4 WHEN 0 THEN '1 2 lb viii kg abc' WHEN 1 THEN 'ij office no' WHEN 2 THEN '3 oz strasse' ELSE 'cafe ole x2' END || ' ' || page_id AS key
+FROM pages""",
+)
+def folded_keys(spark, folder):
+    """Compatibility forms: signs, fractions, numerals, units, ligatures, full-width and mathematical letters."""
+    kind = F.col("page_id") % 4
+    text = (
+        F.when(kind == 0, "\u00bd lb \u2167 \u338f \U0001d400bc")
+        .when(kind == 1, "\u0133 o\ufb03ce \u2116")
+        .when(kind == 2, "\uff13 oz Stra\u017fse")
+        .otherwise("Caf\u00e9 Ol\u00c9 x\u00b2")
+    )
+    return table(spark, folder, "pages").select("page_id", normalize_text(F.concat_ws(" ", F.lit("Swiss Water\u2122"), text, F.col("page_id").cast("string"))).alias("key"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 # White space as the web platform defines it: wider than Java's ``\s``.
 WS_CHARS = r"\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_CHARS}]"
-_LIGATURE_RANGES = ((0x0132, 0x0133), (0xFB00, 0xFB06))
 
 
 def _plain(ch: str) -> str:
@@ -21,28 +20,24 @@ def _plain(ch: str) -> str:
 
 
 @cache
-def _fold_table() -> tuple[str, str]:
-    """Every BMP character whose compatibility form is one ASCII letter or digit."""
-    source, target = [], []
-    for point in range(0x80, 0x10000):
-        if 0xD800 <= point <= 0xDFFF:
+def _fold_table() -> tuple[str, str, list[str], list[str]]:
+    """Characters beyond ASCII whose compatibility form has ASCII letters or digits.
+
+    First those with one character as (source, target) strings, then those with several as two lists; in these, what is
+    neither letter nor digit is a space.
+    """
+    source, target, long_source, long_target = [], [], [], []
+    for point in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        plain = "".join(c if c.isascii() and c.isalnum() else " " for c in _plain(chr(point)))
+        if not plain.strip():
             continue
-        plain = _plain(chr(point))
-        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+        if len(plain) == 1:
             source.append(chr(point))
             target.append(plain)
-    return "".join(source), "".join(target)
-
-
-@cache
-def _ligatures() -> tuple[tuple[str, str], ...]:
-    pairs = []
-    for low, high in _LIGATURE_RANGES:
-        for point in range(low, high + 1):
-            plain = _plain(chr(point))
-            if len(plain) > 1 and plain.isascii() and plain.isalnum():
-                pairs.append((chr(point), plain))
-    return tuple(pairs)
+        else:
+            long_source.append(chr(point))
+            long_target.append(plain)
+    return "".join(source), "".join(target), long_source, long_target
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -56,16 +51,19 @@ def trim_all(c: Column) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
-    """Compatibility-decompose Latin letters and digits; plain ASCII skips the work."""
-    source, target = _fold_table()
-    pairs = _ligatures()
+    """Compatibility-decompose letters and digits of all of Unicode; plain ASCII skips the work."""
+    source, target, long_source, long_target = _fold_table()
     folded = F.translate(F.regexp_replace(c, r"[\u0300-\u036f]+", ""), source, target)
-    expanded = folded
-    for ligature, letters in pairs:
-        expanded = F.replace(expanded, F.lit(ligature), F.lit(letters))
-    has_ligature = c.rlike("[" + "".join(p[0] for p in pairs) + "]")
+
+    def expanded(x: Column) -> Column:
+        # Only the rare characters that become several are looked up, each distinct one once.
+        found = F.array_distinct(F.regexp_extract_all(x, F.lit(several), F.lit(0)))
+        forms = F.map_from_arrays(F.lit(long_source), F.lit(long_target))
+        return F.aggregate(found, x, lambda out, ch: F.replace(out, ch, F.element_at(forms, ch)))
+
+    several = "[" + "".join(long_source) + "]"
     plain = F.octet_length(c) == F.length(c)
-    return F.when(plain, c).when(has_ligature, expanded).otherwise(folded)
+    return F.when(plain, c).otherwise(let(folded, lambda x: F.when(x.rlike(several), expanded(x)).otherwise(x)))
 
 
 def normalize_text(c: Column) -> Column:

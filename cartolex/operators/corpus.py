@@ -13,8 +13,6 @@ from cartolex.operators.keep import keep_first
 from cartolex.operators.running import with_running
 from cartolex.vocab import rules
 
-MAX_INTERVAL_S = 30.0
-FINGERPRINT_BUCKET = 4096
 
 
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -49,12 +47,11 @@ def crawl_frontier(
     budget: int | Column,
     link_rules: Sequence[tuple[str, str]] = tuple(rules.LINK_RULES),
     kind_rank: dict[str, int] | None = None,
-    max_per_site: int = 20,
 ) -> DataFrame:
     """Links worth fetching per site: best kind, then shortest path, then document order.
 
     ``links`` come from ``page_links``. ``budget`` is the number of fetches left
-    for the row's site; at most ``max_per_site`` are planned in any case.
+    for the row's site, the only limit.
     """
     ranks = kind_rank or rules.LINK_RANK
     path = path_of(F.col("url"))
@@ -68,10 +65,12 @@ def crawl_frontier(
     )
     unique = keep_first(classed.select("site", "url", "kind", "kind_rank", "path", "budget", *order), ["site", "url"], list(order))
     best = [F.col("kind_rank"), F.length("path"), *[F.col(o) for o in order], F.col("url")]
-    # The literal bound lets each map task send no more than that many rows per site.
+    ranked = unique.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(*best)))
+    if isinstance(budget, int):
+        # A literal bound lets each map task send no more than that many rows per site.
+        ranked = ranked.filter(F.col("rank") <= budget)
     return (
-        unique.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(*best)))
-        .filter((F.col("rank") <= max_per_site) & (F.col("rank") <= F.col("budget")))
+        ranked.filter(F.col("rank") <= F.col("budget"))
         .select("site", "rank", "kind", "url")
     )
 
@@ -81,33 +80,45 @@ def detect_platform(
     html: str = "html",
     pinned: str | None = None,
     markers: Sequence[tuple[str, str]] = tuple(rules.PLATFORM_RULES),
+    headers: str | None = None,
+    header_markers: Sequence[tuple[str, str, str]] = (),
+    chars: int | None = None,
 ) -> DataFrame:
     """Add ``platform``: a pinned value, else the first shop-software marker, else ``other``.
 
-    Markers are looked for in the first 400,000 characters, as shop software
-    puts them into the page head.
+    ``headers`` names a map column of response headers (names in any case); a
+    header marker (name, pattern, platform) decides before the page does.
+    ``chars`` looks only at so many characters of the page; by default at all.
     """
-    found = F.coalesce(first_match(F.substring(F.col(html), 1, rules.PLATFORM_CHARS), list(markers)), F.lit("other"))
+    body = F.col(html) if chars is None else F.substring(F.col(html), 1, chars)
+    found = F.coalesce(first_match(body, list(markers)), F.lit("other"))
+    if headers is not None:
+        lowered = F.transform_keys(F.col(headers), lambda k, _: F.lower(k))
+        sent = [F.when(F.element_at(lowered, name.lower()).rlike(pattern), F.lit(platform)) for name, pattern, platform in header_markers]
+        found = F.coalesce(*sent, found)
     return pages.withColumn("platform", F.coalesce(F.col(pinned), found) if pinned else found)
 
 
 def policy_join(urls: DataFrame, id: str, url: str, policy: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """Add ``allowed``: the longest rule that prefixes the path decides; no rule allows.
 
-    ``policy`` has (host, prefix, allow). A URL is exploded into the prefixes of
-    its own path, so the match is an equality join and its cost does not depend
-    on how many rules a host has. On equal length "allow" wins. ``status`` has
+    ``policy`` has (host, prefix, allow). A URL is exploded into those prefixes of
+    its own path that have the length of a rule of its host, so the match is an
+    equality join. On equal length "allow" wins. ``status`` has
     (host, code): client errors allow all, server errors (or 0, unreachable)
     deny all.
     """
     target = urls.select(F.col(id), host_of(F.col(url)).alias("_host"), F.regexp_extract(F.col(url), r"^[^:]+://[^/?#]*([^#]*)", 1).alias("_path"))
     target = target.withColumn("_path", F.when(F.col("_path").startswith("/"), F.col("_path")).otherwise(F.concat(F.lit("/"), F.col("_path"))))
-    prefixes = target.select(id, "_host", "_path", F.explode(F.sequence(F.lit(1), F.length("_path"))).alias("_n")).select(
-        id, "_host", "_n", F.substring("_path", F.lit(1), F.col("_n")).alias("_prefix")
-    )
     wanted = policy.groupBy(host_of(F.concat(F.lit("http://"), F.col("host"))).alias("_host"), F.col("prefix").alias("_prefix")).agg(
         F.max(F.col("allow").cast("int")).alias("_allow")
     )
+    # Only the lengths that occur among the host's rules: a few short prefixes of a path, not all of them.
+    sizes = wanted.groupBy("_host").agg(F.collect_set(F.length("_prefix")).alias("_sizes"))
+    own = F.filter("_sizes", lambda n: n <= F.length("_path"))
+    prefixes = target.join(sizes, "_host").select(id, "_host", "_path", F.explode(own).alias("_n")).select(
+        id, "_host", "_n", F.substring("_path", F.lit(1), F.col("_n")).alias("_prefix")
+    )
     verdict = prefixes.join(wanted, ["_host", "_prefix"]).groupBy(id).agg(F.max(F.struct("_n", "_allow"))["_allow"].alias("_allow"))
     out = urls.join(verdict, id, "left")
     allowed = F.coalesce(F.col("_allow") == 1, F.lit(True))
@@ -124,54 +135,37 @@ def policy_join(urls: DataFrame, id: str, url: str, policy: DataFrame, status: D
 
 
 def polite_schedule(
-    urls: DataFrame, url: str, order: Sequence[str], interval_s: float = 2.0, delays: DataFrame | None = None, chunk: Column | None = None
+    urls: DataFrame,
+    url: str,
+    order: Sequence[str],
+    interval_s: float = 2.0,
+    delays: DataFrame | None = None,
+    chunk: Column | None = None,
+    most_s: float | None = None,
 ) -> DataFrame:
     """Add ``host`` and ``start_s``: earliest start of each fetch, one at a time per host.
 
-    ``delays`` has (host, delay_s); a delay raises the interval, up to 30 s.
+    ``delays`` has (host, delay_s); a delay raises the interval, up to ``most_s`` if that is given.
     """
     queued = with_running(urls.withColumn("host", host_of(F.col(url))), order, ["host"], chunk=chunk).drop("before")
     step = F.lit(float(interval_s))
     if delays is not None:
         queued = queued.join(delays.select("host", "delay_s"), "host", "left")
-        raised = F.least(F.greatest(F.col("delay_s").cast("double"), step), F.lit(MAX_INTERVAL_S))
+        raised = F.greatest(F.col("delay_s").cast("double"), step)
+        raised = raised if most_s is None else F.least(raised, F.lit(float(most_s)))
         step = F.when(F.col("delay_s").isNotNull(), raised).otherwise(step)
     return queued.withColumn("start_s", F.col("position") * step).drop("position", "delay_s")
 
 
-def group_fingerprint(df: DataFrame, group: Sequence[str], part: Column, bucket_rows: int = FINGERPRINT_BUCKET) -> DataFrame:
-    """Order-insensitive fingerprint per group: hash of its sorted parts, one per line.
+def group_fingerprint(df: DataFrame, group: Sequence[str], part: Column) -> DataFrame:
+    """Order-insensitive fingerprint per group: hash of the number of its parts and of two sums of their digests.
 
-    A group of more than ``bucket_rows`` rows is cut by part hash into buckets
-    that are fingerprinted first; the group's value is then the fingerprint of
-    those, so no task ever holds a whole large group.
+    Counts and sums are merged from partial ones, so the value means the same for a group of any size and no task holds a
+    group. The two sums take 60 bits of each part's digest and are exact.
     """
-    group = list(group)
-    parts = df.groupBy(*group, part.alias("_part")).agg(F.count("*").alias("_copies"))
-    sizes = parts.groupBy(*group).agg(F.sum("_copies").alias("_rows"), F.count("*").alias("_distinct"))
-    plain = F.col("_rows") <= bucket_rows
-    # Buckets double until each is expected to hold at most half of ``bucket_rows``.
-    doublings = F.greatest(F.ceil(F.log2(F.col("_distinct") / F.lit(bucket_rows))), F.lit(0)) + 1
-    cut = F.when(plain, F.lit(1)).otherwise(F.pow(F.lit(2), doublings)).cast("bigint")
-    line = (
-        F.when(F.col("_copies") == 1, F.col("_part"))
-        .when(F.col("_cut") == 1, F.array_join(F.array_repeat("_part", F.col("_copies").cast("int")), "\n"))
-        .otherwise(F.concat_ws("*", F.col("_part"), F.col("_copies").cast("string")))
-    )
-    digest = F.conv(F.substring(F.sha2("_part", 256), 1, 15), 16, 10).cast("bigint")
-    bucketed = parts.join(sizes.select(*group, cut.alias("_cut")), group).select(
-        *group, "_cut", "_copies", F.pmod(digest, F.col("_cut")).alias("_bucket"), line.alias("_line")
-    )
-    first = bucketed.groupBy(*group, "_bucket", "_cut").agg(
-        short_hash(F.array_join(F.array_sort(F.collect_list("_line")), "\n")).alias("_print"),
-        F.sum("_copies").alias("_rows"),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_bucket", "_print")))
-    many = short_hash(F.array_join(F.transform(ordered, lambda b: b["_print"]), "\n"))
-    return first.groupBy(*group).agg(
-        F.sum("_rows").alias("parts"),
-        F.when(F.max("_cut") == 1, F.max("_print")).otherwise(many).alias("fingerprint"),
-    )
+    digest = F.sha2(part, 256)
+    sums = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16)]
+    return df.groupBy(*group).agg(F.count(part).alias("parts"), short_hash(F.concat_ws(":", F.count(part), *sums)).alias("fingerprint"))
 
 
 def pages_hash(pages: DataFrame, site: str, url: str = "url", hash: str = "hash") -> DataFrame:

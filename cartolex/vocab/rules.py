@@ -163,5 +163,4 @@ PLATFORM_RULES = [
     (r'(?i)wp-content/plugins/woocommerce|woocommerce-page|class="[^"]*\bwoocommerce\b', "woocommerce"),
     (r"(?i)square\.site|squareup\.com|editmysite\.com|square-online", "square"),
 ]
-PLATFORM_CHARS = 400_000
 STORE_PLATFORMS = ("shopify", "woocommerce")

@@ -1,3 +1,5 @@
+import hashlib
+
 """Behaviours the table bindings do not reach."""
 
 import pytest
@@ -24,13 +26,17 @@ def test_running_totals_with_a_hot_group(spark):
         assert all(r.position == r.i and r.before == sum(range(r.i)) for r in out)
 
 
-def test_fingerprint_buckets(spark):
-    df = spark.createDataFrame([("a", str(i)) for i in range(100)] + [("b", "x")], "g string, p string")
-    prints = lambda d, n: {r.g: (r.parts, r.fingerprint) for r in group_fingerprint(d, ["g"], F.col("p"), n).collect()}
-    small, large = prints(df, 8), prints(df, 1000)
-    assert small["b"] == large["b"] and small["a"][0] == large["a"][0] == 100
-    assert small["a"] == prints(df.orderBy(F.desc("p")), 8)["a"]
-    assert small["a"] != prints(df.filter("p <> '7'"), 8)["a"]
+def test_fingerprint_is_one_definition(spark):
+    """Order and partitions do not matter, copies and changes do, and a large group is cut into nothing."""
+    small = [("a", "x"), ("a", "y"), ("a", "y"), ("b", "x"), ("c", None)]
+    large = [("big", f"part {i}") for i in range(12_000)]
+    prints = lambda rows, n: {r.g: (r.parts, r.fingerprint) for r in group_fingerprint(spark.createDataFrame(rows, "g string, p string").repartition(n), ["g"], F.col("p")).collect()}
+    one, two = prints(small + large, 2), prints((small + large)[::-1], 7)
+    assert one == two and one["a"][0] == 3 and one["big"][0] == 12_000 and one["c"][0] == 0
+    digests = [hashlib.sha256(p.encode()).hexdigest() for _, p in large]
+    sums = [sum(int(d[at : at + 15], 16) for d in digests) for at in (0, 15)]
+    assert one["big"][1] == hashlib.sha256(f"12000:{sums[0]}:{sums[1]}".encode()).hexdigest()[:16]
+    assert prints([("a", "x"), ("a", "y")], 1)["a"] != one["a"] and prints(large[1:], 3)["big"] != one["big"]
 
 
 @pytest.mark.parametrize("per_node, room", [(2, 100), (64, 100)])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartolex.functions import attributes as at
+from cartolex.functions import html, text
 from cartolex.functions.html import anchors, fragment_text, resolve_links, visible_text
 from cartolex.functions.text import clean_url, host_of, normalize_text, normalize_variety, singularize
 from cartolex.operators.entities import note_families
@@ -22,7 +23,7 @@ def one(spark, fn, *values):
     [
         ("Café  d’Été — 12oz", "cafe dete 12oz"),
         ("  São\tPaulo & Ñandú ", "sao paulo nandu"),
-        ("ﬁne Ｆｕｌｌ №5 Straße", "fine full 5 stra e"),
+        ("ﬁne Ｆｕｌｌ №5 Straße", "fine full no5 stra e"),
         ("élan", "elan"),
         ("", ""),
     ],
@@ -169,3 +170,33 @@ def test_gazetteer(spark):
     assert [r["values"] for r in gazetteer_scan(texts, "id", F.col("t"), places, consume=True).collect()] == [["PG", "ET"]]
     named = spark.createDataFrame([("Côte d'Ivoire",), ("Sumatra",), ("Mars",)], "n string")
     assert [r.code for r in lookup_name(named, F.col("n"), places, "code").orderBy("n").collect()] == ["CI", None, "ID"]
+
+
+def test_dot_segments_at_any_depth(spark):
+    cases = {
+        "/1/2/3/4/5/6/../../../../x": "/1/2/x",
+        "/1/2/3/4/5/6/7/8/9/10/11/" + "../" * 10 + "x": "/1/x",
+        "/a/./b/": "/a/b/",
+        "/a/b/..": "/a/",
+        "/../x": "/x",
+        "/a//b/../c": "/a//c",
+        "/a/.hidden/..x": "/a/.hidden/..x",
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
+    assert {r[0]: r[1] for r in df.select("p", html._drop_dots(F.col("p"))).collect()} == cases
+
+
+def test_references(spark):
+    cases = {
+        "Caf&uuml;e &#8220;x&#8221; &#x27;": "Cafüe “x” '",
+        "&amp;lt; &lt; &#38;gt; &gt;": "&lt; < &gt; >",
+        "&nope; &#55296; &#9999999; & &;": "&nope; &#55296; &#9999999; & &;",
+        "&#x1F600;&apos;": "\U0001f600'",
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
+    assert {r[0]: r[1] for r in df.select("p", html.decode_entities(F.col("p"))).collect()} == cases
+
+
+def test_compatibility_forms(spark):
+    df = spark.createDataFrame([("Swiss Water™ ½ lb Ⅷ ㎏ \U0001d400bc",)], "p string")
+    assert df.select(text.normalize_text(F.col("p"))).first()[0] == "swiss watertm 1 2 lb viii kg abc"
