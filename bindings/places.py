@@ -91,7 +91,7 @@ GROUP BY 1 ORDER BY n DESC, 1 LIMIT 40
 )
 def category_inspect(spark, folder):
     return inspect_categories(
-        table(spark, folder, "part"), F.col("p_type"), F.col("p_name"), "gear|ring|widget", ["%eco%", "%pro%"]
+        table(spark, folder, "part"), F.col("p_type"), F.col("p_name"), "gear|ring|widget", ["%eco%", "%pro%"], k=40
     )
 
 

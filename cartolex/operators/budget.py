@@ -48,8 +48,10 @@ def fit_counts(base_bytes: Column, sizes: Sequence[Column], max_bytes: int = MAX
             .otherwise(F.struct(*kept, F.lit(True).alias("fits")))
         )
 
-    # 0.8 ** 64 of any list a document could hold is below one member.
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, shrink)
+    # A list of n members is empty after fewer steps than this, whatever n is; the sums of all steps are five lists at most.
+    longest = F.greatest(F.lit(1), *[F.size(s) for s in sizes])
+    steps = (4 * F.ceil(F.log2(longest + 1)) + 8).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), steps), start, shrink)
 
 
 def fit_bytes(

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from cartolex.functions.attributes import parse_process, parse_roast
 from cartolex.functions.geo import geohash
 from cartolex.functions.numbers import valid_range
-from cartolex.functions.text import normalize_text, normalize_variety, short_hash, trim_all
+from cartolex.functions.text import normalize_text, normalize_variety, short_hash
+from cartolex.functions.variant import short_text
 from cartolex.operators.keep import cap_per_group, keep_first
 from cartolex.operators.lexicon import lexicon_map
 from cartolex.vocab.countries import COUNTRIES
 from cartolex.vocab.enums import (
     FLAVOR_FAMILIES,
-    MAX_ITEMS_PER_ENTITY,
-    MAX_MENU_PER_ENTITY,
-    MAX_NOTES_PER_ITEM,
     MENU_CATEGORIES,
 )
 from cartolex.vocab.rules import STORE_PLATFORMS
@@ -53,7 +51,9 @@ def note_families(items: DataFrame, id: str, notes: Column, lexicon: DataFrame)
     return families, singles.join(mapped, "note", "left_anti").select(id, "pos", "note")
 
 
-def normalize_items(raw: DataFrame, key: str, entity: str, lexicon: DataFrame, seen_at: Column) -> DataFrame:
+def normalize_items(
+    raw: DataFrame, key: str, entity: str, lexicon: DataFrame, seen_at: Column, name_chars: int | None = None, most_notes: int | None = None
+) -> DataFrame:
     """Raw items (see ``enrich.ITEM_FIELDS``, unique ``key``) to published item rows.
 
     ``raw`` is read once for its notes and once for the rest; hand over a stored table.
@@ -71,7 +71,7 @@ def normalize_items(raw: DataFrame, key: str, entity: str, lexicon: DataFrame, s
         F.col(key),
         F.col(entity),
         item_id(F.col(entity), F.col("name")).alias("item_id"),
-        F.substring(trim_all(F.col("name")), 1, 120).alias("name"),
+        short_text(F.col("name"), name_chars).alias("name"),
         "url",
         F.col("_countries").alias("countries"),
         "region",
@@ -82,7 +82,7 @@ def normalize_items(raw: DataFrame, key: str, entity: str, lexicon: DataFrame, s
         parse_roast(F.col("roast")).alias("roast_level"),
         F.array_distinct(varieties).alias("varieties"),
         F.coalesce("is_decaf", F.lit(False)).alias("is_decaf"),
-        F.slice(notes, 1, MAX_NOTES_PER_ITEM).alias("notes"),
+        (notes if most_notes is None else F.slice(notes, 1, most_notes)).alias("notes"),
         F.array_union(F.coalesce("families", _empty()), suggested).alias("flavor_families"),
         valid_range(F.col("price_usd"), 3, 500).alias("price_usd"),
         valid_range(F.col("size_grams"), 50, 5000).alias("size_grams"),
@@ -93,13 +93,13 @@ def normalize_items(raw: DataFrame, key: str, entity: str, lexicon: DataFrame, s
     )
 
 
-def normalize_menu(raw: DataFrame, entity: str, order: Sequence[str], seen_at: Column) -> DataFrame:
+def normalize_menu(raw: DataFrame, entity: str, order: Sequence[str], seen_at: Column, name_chars: int | None = None) -> DataFrame:
     known = F.when(F.col("category").isin(list(MENU_CATEGORIES)), F.col("category")).otherwise(F.lit("other"))
     return raw.select(
         F.col(entity),
         *order,
         menu_id(F.col(entity), F.col("name"), known).alias("menu_id"),
-        F.substring(trim_all(F.col("name")), 1, 80).alias("name"),
+        short_text(F.col("name"), name_chars).alias("name"),
         known.alias("category"),
         valid_range(F.col("price_usd"), 0.5, 100).alias("price_usd"),
         "description",
@@ -109,16 +109,20 @@ def normalize_menu(raw: DataFrame, entity: str, order: Sequence[str], seen_at: C
 
 
 def finalise_items(
-    items: DataFrame, entity: str, order: Sequence[str], most: int = MAX_ITEMS_PER_ENTITY
+    items: DataFrame, entity: str, order: Sequence[str], most: int | None = None
 ) -> DataFrame:
-    """One row per item id (the first), in-stock items first, at most ``most`` per entity."""
+    """One row per item id (the first); of each entity the first ``most``, in-stock items before others, if that is given."""
     unique = keep_first(items, [entity, "item_id"], list(order))
+    if most is None:
+        return unique
     sold_out = ~F.coalesce(F.col("in_stock"), F.lit(True))
     return cap_per_group(unique, [entity], [sold_out, *[F.col(o) for o in order]], most)
 
 
-def finalise_menu(menu: DataFrame, entity: str, order: Sequence[str], most: int = MAX_MENU_PER_ENTITY) -> DataFrame:
+def finalise_menu(menu: DataFrame, entity: str, order: Sequence[str], most: int | None = None) -> DataFrame:
     unique = keep_first(menu, [entity, "menu_id"], list(order))
+    if most is None:
+        return unique
     return cap_per_group(unique, [entity], [F.col(o) for o in order], most)
 
 

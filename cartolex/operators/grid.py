@@ -33,9 +33,10 @@ def grid_clusters(points: DataFrame, zoom: int, lng: str = "lng", lat: str = "la
     A fixed grid, not the hierarchical greedy clustering of a map library. At
     the highest zooms points are not clustered.
     """
-    if zoom > CLUSTER_MAX_ZOOM:
-        return points.select(F.lit(1).cast("bigint").alias("points"), F.col(lng).alias("lng"), F.col(lat).alias("lat"))
     x, y = mercator_tile(F.col(lng), F.col(lat), zoom, max(TILE_PX // CLUSTER_RADIUS_PX, 1))
+    if zoom > CLUSTER_MAX_ZOOM:
+        one = F.lit(1).cast("bigint").alias("points")
+        return points.select(x.alias("x"), y.alias("y"), one, F.col(lng).cast("double").alias("lng"), F.col(lat).cast("double").alias("lat"))
     return points.groupBy(x.alias("x"), y.alias("y")).agg(
         F.count("*").alias("points"), F.avg(lng).alias("lng"), F.avg(lat).alias("lat")
     )

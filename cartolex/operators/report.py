@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from cartolex.vocab.enums import MENU_CATEGORIES
 
-MAX_LISTED = 40
-
 
 def count_by(df: DataFrame, section: str, key: Column) -> DataFrame:
     """(section, key, value): rows per key."""
@@ -37,21 +35,22 @@ def run_report(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def report_markdown(title: str, report: DataFrame, listed: dict[str, DataFrame] | None = None) -> str:
-    """Markdown for people; ``listed`` tables (one text column) show up to 40 lines each.
+def report_markdown(title: str, report: DataFrame, listed: dict[str, DataFrame] | None = None, lines_each: int = 40) -> str:
+    """Markdown for people; ``listed`` tables (one text column) show ``lines_each`` lines and say how many there are.
 
-    The report has a few rows per section, fixed by the vocabularies.
+    The report itself has a few rows per section, fixed by the vocabularies, and is shown whole.
     """
     lines = [f"## {title}", ""]
     sections: dict[str, list[str]] = {}
-    for row in report.orderBy("section", F.desc("value"), "key").limit(1000).collect():
+    for row in report.orderBy("section", F.desc("value"), "key").collect():
         sections.setdefault(row.section, []).append(f"{row.key} {row.value}")
     lines += [f"- **{name}:** {' · '.join(values)}" for name, values in sections.items()]
     for name, table in (listed or {}).items():
         total = table.count()
         if total:
-            shown = [str(r[0]) for r in table.limit(MAX_LISTED).collect()]
+            shown = [str(r[0]) for r in table.limit(lines_each).collect()]
             lines += ["", f"### {name} ({total})", *[f"- {s}" for s in shown]]
+            lines += [f"- and {total - len(shown)} more"] * (total > len(shown))
     return "\n".join(lines)
 
 

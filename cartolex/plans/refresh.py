@@ -29,6 +29,7 @@ from cartolex.operators.keep import take_budget
 from cartolex.operators.report import count_by, failed_ratio, run_report
 from cartolex.session import durable
 from cartolex.sources.catalog import read_catalog_json
+from cartolex.vocab import enums
 
 STATE_SCHEMA = (
     "id string, content_hash string, pages_hash string, meta_hash string, crawl_status string, "
@@ -78,8 +79,8 @@ def _store_items(pages: DataFrame, changed: DataFrame) -> DataFrame:
     order = ["pos", "product_pos"]
     a = products.filter("platform = 'shopify' AND layout = 'a'")
     b = products.filter("platform = 'woocommerce' AND layout = 'b'")
-    return flatten_catalog_a(a, "id", F.col("origin"), order).unionByName(
-        flatten_catalog_b(b, "id", order), allowMissingColumns=True
+    return flatten_catalog_a(a, "id", F.col("origin"), order, description_chars=enums.DESCRIPTION_CHARS).unionByName(
+        flatten_catalog_b(b, "id", order, description_chars=enums.DESCRIPTION_CHARS), allowMissingColumns=True
     )
 
 
@@ -118,7 +119,7 @@ def refresh_region(
     fresh = outcomes.filter("fresh")
 
     by = lambda source: fresh.filter(F.col("item_source") == source).select("id")
-    model = with_item_fields(validate_items(answered, "id")).withColumn(
+    model = with_item_fields(validate_items(answered, "id", enums.ITEM_LIMITS)).withColumn(
         "key", F.concat_ws("#", "id", F.col("pos").cast("string"))
     )
     fields = [c for c in with_item_fields(model).columns if c not in ("id", "key", "pos")]
@@ -128,7 +129,7 @@ def refresh_region(
         .unionByName(model.join(by("model"), "id", "left_semi").select("id", "key", "pos", *fields))
     )
     raw = durable(raw)
-    listed = normalize_items(raw.withColumnRenamed("id", "entity_id"), "key", "entity_id", t.notes, now)
+    listed = normalize_items(raw.withColumnRenamed("id", "entity_id"), "key", "entity_id", t.notes, now, enums.ITEM_NAME_CHARS, enums.MAX_NOTES_PER_ITEM)
     listed = durable(listed.join(raw.select("key", "pos"), "key").drop("key"))
 
     known = t.items if t.items is not None else listed.limit(0).withColumn("misses", F.lit(0))
@@ -140,15 +141,15 @@ def refresh_region(
     waiting = known.drop("misses").join(fate.filter("action IN ('grace', 'carried')"), key)
     both = present.unionByName(waiting, allowMissingColumns=True).withColumn("misses", F.col("_misses"))
     late = F.when(F.col("action") == "grace", 1).otherwise(0)
-    items = finalise_items(both.withColumn("late", late), "entity_id", ["late", "pos", "item_id"])
+    items = finalise_items(both.withColumn("late", late), "entity_id", ["late", "pos", "item_id"], enums.MAX_ITEMS_PER_ENTITY)
     items = durable(items.drop("late", "action", "_misses", "_first"))
 
-    new_menu = validate_menu(answered, "id").join(fresh.filter("menu_fresh").select("id"), "id", "left_semi")
-    menu = normalize_menu(new_menu.withColumnRenamed("id", "entity_id"), "entity_id", ["pos"], now)
+    new_menu = validate_menu(answered, "id", enums.MENU_LIMITS).join(fresh.filter("menu_fresh").select("id"), "id", "left_semi")
+    menu = normalize_menu(new_menu.withColumnRenamed("id", "entity_id"), "entity_id", ["pos"], now, enums.MENU_NAME_CHARS)
     if t.menu is not None:
         replaced = fresh.filter("menu_fresh").select(F.col("id").alias("entity_id"))
         menu = menu.unionByName(t.menu.join(replaced, "entity_id", "left_anti"))
-    menu = durable(finalise_menu(menu, "entity_id", ["pos", "menu_id"]))
+    menu = durable(finalise_menu(menu, "entity_id", ["pos", "menu_id"], enums.MAX_MENU_PER_ENTITY))
 
     placed = candidates.drop("platform").join(crawls.select("id", "platform", F.col("status").alias("crawl_status")), "id")
     entities = build_entities(placed, items, menu)

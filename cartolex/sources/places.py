@@ -78,19 +78,25 @@ def coerce_places(flat: DataFrame) -> DataFrame:
 
 
 def inspect_categories(
-    df: DataFrame, category: Column, name: Column, name_pattern: str, category_likes: Sequence[str], k: int = 40
+    df: DataFrame, category: Column, name: Column, name_pattern: str, category_likes: Sequence[str], k: int | None = None, box: tuple[float, float, float, float] | None = None
 ) -> DataFrame:
-    """Most frequent categories among rows whose name or category looks relevant."""
+    """Categories of rows whose name or category looks relevant, most frequent first; the first ``k`` if that is given.
+
+    ``box`` (west, south, east, north) keeps rows of nested place data whose box lies inside.
+    """
+    if box is not None:
+        west, south, east, north = box
+        df = df.filter((F.col("bbox.xmin") >= west) & (F.col("bbox.xmax") <= east) & (F.col("bbox.ymin") >= south) & (F.col("bbox.ymax") <= north))
     relevant = F.lower(name).rlike(name_pattern)
     for pattern in category_likes:
         relevant = relevant | category.ilike(pattern)
-    return (
+    counts = (
         df.filter(F.coalesce(relevant, F.lit(False)))
         .groupBy(category.alias("category"))
         .agg(F.count("*").alias("n"), F.min(name).alias("example"))
         .orderBy(F.desc("n"), "category")
-        .limit(k)
     )
+    return counts if k is None else counts.limit(k)
 
 
 def trimmed_name(name: Column) -> Column:

@@ -58,6 +58,10 @@ FLAVOR_FAMILIES = {
 MAX_ITEMS_PER_ENTITY = 200
 MAX_MENU_PER_ENTITY = 150
 MAX_NOTES_PER_ITEM = 8
+ITEM_NAME_CHARS, MENU_NAME_CHARS, DESCRIPTION_CHARS = 120, 80, 4000
+# Cuts of extraction responses: rows, characters by field, members of lists and their characters.
+ITEM_LIMITS = {"rows": 250, "name": 120, "url": 500, "origin_text": 200, "region": 80, "farm": 80, "producer": 80, "process": 60, "roast": 30, "notes": 8, "members": 12, "chars": 60}
+MENU_LIMITS = {"rows": 200, "name": 80, "description": 200}
 MAX_DOCUMENT_BYTES = 900_000
 ITEM_MISS_LIMIT = 2
 DELETE_AFTER_RUNS = 4

@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+import bindings
 from tests import harness
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = bindings.QUERIES, bindings.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -25,5 +26,10 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_has_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
