@@ -4,11 +4,11 @@ A document is the set of its distinct word shingles. Its signature has ``REGISTE
 hash that falls into it, the number of leading zeros and the next ten bits: two bytes. Bands of ``BAND`` registers, empty
 ones filled from others by a fixed order of search, are the keys under which documents meet.
 
-Equal sets become one class first, so copies cost one row. In a band, members are paired with a centre, not with each other:
-each round takes, in every band whose members are not all known to belong together, some centres more, and all members are
-paired with them; then the centres leave the band. A pair passes by sizes, by the Jaccard estimate corrected for registers
-that agree by chance (with a margin of six standard deviations), then by the full sets. The rounds end when every band is one
-component, or has no pair left that was not compared: no link between documents that share a band is lost.
+Equal sets become one class first, so copies cost one row. In a band, members are paired with a centre, not with each other.
+A pair passes by sizes, by the Jaccard estimate corrected for registers that agree by chance (with a margin of six standard
+deviations), then by the full sets. Bands whose members are then not all known to belong together are settled in memory, in
+slices of bounded size: what lies outside a band's largest component is compared with that and with each other. So no link
+between documents that share a band is lost, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartolex.llm.common import U, Spans, column, constants, flat, longs, mix, pieces, ship, stored
@@ -30,7 +29,7 @@ CHUNK = 1 << 20
 MARGIN = 6.0
 #: Bands of so many members are compared at once, pair by pair.
 SMALL = 8
-#: Texts compared with one centre in one task.
+#: Texts compared with one centre, or held in memory to be compared with others, in one task.
 SLICE = 500
 _CODES = constants(23, 256)
 _C = constants(29, 8)
@@ -139,6 +138,28 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return (share - chance) / (1 - chance)
 
 
+def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of pairs, and how far below the threshold an estimate may lie and still go on to the full sets.
+
+    Of a union of few more elements than registers in use, nearly all were seen: the slack shrinks with the share unseen.
+    """
+    used = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(1), 1)
+    union = (size_a + size_b) / (1 + threshold)
+    unseen = np.clip(1 - used / np.maximum(union, 1), 0, 1)
+    slack = MARGIN * np.sqrt(threshold * (1 - threshold) / used * unseen) + 2 / used
+    return estimate(a, b, size_a, size_b), slack
+
+
+def linked(own: np.ndarray, mine: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have ``percent`` of their union in common."""
+    if not len(own) or not len(mine):
+        return False
+    at = np.searchsorted(own, mine)
+    at[at == len(own)] = 0
+    both = int((own[at] == mine).sum())
+    return 100 * both >= percent * (len(own) + len(mine) - both)
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -185,7 +206,6 @@ def _full(words: int):
 
 def _estimated(percent: int):
     """Pairs with the signatures of both to those that may reach the threshold."""
-    threshold = percent / 100
 
     def task(batches):
         for batch in batches:
@@ -193,9 +213,8 @@ def _estimated(percent: int):
                 continue
             size = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (2, 3)]
             registers = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5)]
-            guess = estimate(*registers, *size)
-            spread = np.sqrt(threshold * (1 - threshold) / np.minimum(np.minimum(*size), REGISTERS))
-            near = (guess >= threshold - MARGIN * spread) & (100 * np.minimum(*size) >= percent * np.maximum(*size))
+            guess, slack = likely(*registers, *size, percent / 100)
+            near = (guess >= percent / 100 - slack) & (100 * np.minimum(*size) >= percent * np.maximum(*size))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
     return task
@@ -204,14 +223,6 @@ def _estimated(percent: int):
 def _verified(words: int, percent: int):
     """Texts in order of their centre, the centre's own first, to the links with it: full sets are compared."""
 
-    def linked(own: np.ndarray, mine: np.ndarray) -> bool:
-        if not len(own) or not len(mine):
-            return False
-        at = np.searchsorted(own, mine)
-        at[at == len(own)] = 0
-        both = int((own[at] == mine).sum())
-        return 100 * both >= percent * (len(own) + len(mine) - both)
-
     def task(batches):
         shared: dict = {}
         centre, own = None, []
@@ -226,7 +237,7 @@ def _verified(words: int, percent: int):
                     centre, own = x, []
                 if x == y:
                     own.append(mine)  # more than one only if texts share the id
-                elif any(linked(o, mine) for o in own):
+                elif any(linked(o, mine, percent) for o in own):
                     links.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
@@ -236,26 +247,24 @@ def _verified(words: int, percent: int):
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """doc_id and component (the smallest id reachable) of every id in the links (a, b).
 
-    Two steps alternate until nothing changes: each id's larger neighbours go to the smallest of its neighbourhood, then its
-    smaller ones do. Both keep components and shorten paths, so the rounds follow the logarithm of the longest path.
+    Two steps alternate until only stars are left: each id's larger neighbours go to the smallest of its neighbourhood, then
+    its smaller ones do. Both keep components and shorten paths, so the rounds follow the logarithm of the longest path.
     """
 
-    def state(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def stars(edges: DataFrame) -> bool:
+        """No centre is a leaf, and no leaf has two centres."""
+        ends = edges.select(F.col("a").alias("v"), F.lit(0).alias("leaf")).unionByName(edges.select(F.col("b").alias("v"), F.lit(1).alias("leaf")))
+        seen = ends.groupBy("v").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("least"))
+        return seen.filter("leaf > 1 OR (leaf = 1 AND least = 0)").isEmpty()
 
     edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), name)
-    before = state(edges)
-    while before[0]:
+    while not stars(edges):
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
         low = both.groupBy("v").agg(F.min(F.least("v", "w")).alias("low"))
-        large = edges.join(low, edges["a"] == low["v"]).select(F.col("low").alias("a"), "b").filter("a < b").distinct()
+        large = edges.join(low, edges["a"] == low["v"]).select(F.col("low").alias("a"), "b")
         small = large.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("low"))
-        moved = large.join(small, large["b"] == small["v"]).select(F.least("low", "a").alias("a"), F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        edges = stored(moved.unionByName(small.select(F.col("low").alias("a"), F.col("v").alias("b"))).distinct(), name)
-        after = state(edges)
-        if after == before:
-            break
-        before = after
+        moved = large.join(small, large["b"] == small["v"]).select(F.col("low").alias("a"), F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        edges = stored(moved.distinct(), name)
     return edges.select(F.col("b").alias("doc_id"), F.col("a").alias("component"))
 
 
@@ -271,7 +280,7 @@ def find_components(docs: DataFrame, members: DataFrame, words: int, percent: in
         one = full.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("registers").alias("r_a"))
         two = full.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("registers").alias("r_b"))
         both = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-        near = stored(both.mapInArrow(_estimated(percent), "a long, b long").distinct(), "near-pairs")
+        near = stored(both.mapInArrow(_estimated(percent), "a long, b long"), "near-pairs")
         # A centre with many others is compared in several tasks, its own text in each.
         slices = near.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
         others = near.join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), "slices").cast("int").alias("slice"))
@@ -291,23 +300,98 @@ def find_components(docs: DataFrame, members: DataFrame, words: int, percent: in
     found = links(pairs)
     joined = components(found)
     # Bands that still hold several components, without the centres: those were compared with all members.
-    left, taken = others.select("band", "doc_id"), 4
-    while True:
-        named = left.join(joined, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        split = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
-        left = stored(named.join(split.select("band"), "band", "left_semi"), "open-bands")
-        if left.isEmpty():
-            return joined
-        # New centres come from the smaller components first: a few outliers are settled at once.
-        sizes = left.groupBy("band", "component").agg(F.count("*").alias("members"))
-        order = W.partitionBy("band").orderBy("members", "component", "doc_id")
-        ranked = left.join(sizes, ["band", "component"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= taken)
-        centres = stored(ranked.select("band", F.col("doc_id").alias("centre"), F.col("component").alias("own")), "centres")
-        pairs = left.join(centres, "band").filter("component != own").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
-        found = found.unionByName(links(pairs))
-        joined = components(found)
-        left = left.join(centres.select("band", F.col("centre").alias("doc_id")), ["band", "doc_id"], "left_anti").select("band", "doc_id")
-        taken *= 4
+    named = others.join(joined, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    split = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
+    left = stored(named.join(split.select("band"), "band", "left_semi"), "open-bands")
+    if left.isEmpty():
+        return joined
+    return components(found.unionByName(_settle(full, left, words, percent)))
+
+
+def _settle(full: DataFrame, left: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the components that meet in open bands (band, doc_id, component): enough of them to join what belongs
+    together.
+
+    In each band every other component is held against the largest, and the others against each other. The first is done
+    once for each pair of components: the larger one's documents in slices, the other's beside every slice. The second is
+    done band by band, again in slices. Slices are compared in memory; only links that join something come out.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = stored(left.select("component", "doc_id").distinct(), "open-documents")
+    sizes = docs.groupBy("component").agg(F.count("*").alias("size"))
+    inside = left.select("band", "component").distinct().join(sizes, "component")
+    largest = inside.groupBy("band").agg(F.max(F.struct("size", "component"))["component"].alias("largest"))
+    rest = stored(left.join(largest, "band").filter("component != largest"), "open-rest")
+
+    def sliced(kind: int, one: DataFrame, two: DataFrame) -> DataFrame:
+        """Rows of the first side by slice of its group, those of the second in every slice."""
+        slices = one.groupBy("group").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+        first = one.join(slices, "group").select("group", F.pmod(F.xxhash64("doc_id"), "slices").cast("int").alias("slice"), F.lit(0).alias("side"), "doc_id", "component")
+        second = two.join(slices, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("side"), "doc_id", "component")
+        return first.unionByName(second).withColumn("kind", F.lit(kind))
+
+    tests = rest.select(F.col("largest").alias("group"), "component").distinct()
+    one = docs.join(tests.select(F.col("group").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("group"), "doc_id", "component")
+    two = tests.join(docs, "component").select("group", "doc_id", "component")
+    several = rest.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
+    among = rest.join(several.select("band"), "band", "left_semi").select(F.col("band").alias("group"), "doc_id", "component")
+    rows = sliced(0, one, two).unionByName(sliced(1, among, among))
+    key = ["kind", "group", "slice"]
+    rows = rows.join(full.select("doc_id", "text"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "side")
+    return stored(rows.select(*key, "side", "doc_id", "component", "text").mapInArrow(_settled(words, percent), "a long, b long"), "links")
+
+
+def _settled(words: int, percent: int):
+    """Rows in order of slice, first sides before second, to the links that join different components in a slice."""
+
+    def compare(own: list, others: list, roots: dict):
+        """Links of ``others`` with ``own``; each side has ids, components, sets and registers."""
+
+        def root(x):
+            while roots.setdefault(x, x) != x:
+                x = roots[x]
+            return x
+
+        sizes = np.array([len(x[2]) for x in own], np.float64)
+        registers = np.array([x[3] for x in own])
+        for doc, component, mine, register in others:
+            n = float(len(mine))
+            near = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+            rows = np.flatnonzero(near)
+            if not len(rows) or not n:
+                continue
+            guess, slack = likely(registers[rows], register[None, :], sizes[rows], np.full(len(rows), n), percent / 100)
+            rows, guess = rows[guess >= percent / 100 - slack], guess[guess >= percent / 100 - slack]
+            for i in rows[np.argsort(-guess, kind="stable")].tolist():
+                other, theirs, held, _ = own[i]
+                x, y = root(component), root(theirs)
+                if x != y and linked(held, mine, percent):
+                    roots[max(x, y)] = min(x, y)
+                    yield other, doc
+
+    def task(batches):
+        shared: dict = {}
+        key, own, others, roots = None, [], [], {}
+        for part in pieces(batches, "text", CHUNK):
+            data, at = flat(part.column(6))
+            rows, hashes = shingles(data, at, words, shared)
+            registers = signatures(rows, hashes, len(at) - 1)
+            cut = np.searchsorted(rows, np.arange(len(at)))
+            links = []
+            columns = [part.column(i).to_pylist() for i in range(6)]
+            for i, (kind, group, piece, side, doc, component) in enumerate(zip(*columns, strict=True)):
+                if (kind, group, piece) != key:
+                    links += compare(own, others, roots)
+                    key, own, others, roots = (kind, group, piece), [], [], {}
+                (others if side else own).append((doc, component, hashes[cut[i] : cut[i + 1]].copy(), registers[i].copy()))
+                if len(others) >= 256:
+                    links += compare(own, others, roots)
+                    others = []
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+        links = list(compare(own, others, roots))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    return task
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
