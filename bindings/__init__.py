@@ -37,4 +37,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from bindings import budgets, catalogs, changes, directory, documents, pages, places  # noqa: F401
+    from bindings import budgets, catalogs, changes, directory, documents, pages, places, stored  # noqa: F401

@@ -168,7 +168,7 @@ UNION ALL SELECT 'orders', o_orderstatus, count(*) FROM orders GROUP BY 2
 UNION ALL SELECT 'events', event_type, count(*) FROM events GROUP BY 2""",
 )
 def report(spark, folder):
-    _, dropped = _judged(spark, folder)
+    dropped = _judged(spark, folder).filter("reason IS NOT NULL")
     return run_report(
         [
             count_by(dropped, "dropped", F.col("reason")),

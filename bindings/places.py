@@ -146,10 +146,7 @@ judged AS (
     f"WITH {PLACES_SQL}, {CASCADE_SQL} SELECT id, name, coalesce(reason, 'kept') AS reason FROM judged",
 )
 def cascade(spark, folder):
-    kept, dropped = _judged(spark, folder)
-    return (
-        kept.select("id", "name", F.lit("kept").alias("reason")).unionByName(dropped.select("id", "name", "reason"))
-    )
+    return _judged(spark, folder).select("id", "name", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
 RADIUS = 800.0
@@ -172,7 +169,7 @@ greedy(key, n, id, kept, chosen) AS (
 
 
 def _deduped(spark, folder):
-    kept, _ = _judged(spark, folder)
+    kept = _judged(spark, folder).filter("reason IS NULL")
     priority = [-F.coalesce(F.col("confidence"), F.lit(0.0)), F.col("website").isNull().cast("int")]
     by = (normalize_text(F.col("name")), F.col("lng"), F.col("lat"), priority, RADIUS)
     return spatial_dedupe(kept, "id", *by), by
@@ -219,7 +216,7 @@ FROM supplier WHERE s_nationkey > 4 AND s_acctbal < 9000
 """,
 )
 def patch_union(spark, folder):
-    kept, _ = _judged(spark, folder)
+    kept = _judged(spark, folder).filter("reason IS NULL")
     s = table(spark, folder, "supplier")
     none = F.lit(None).cast("string")
     patch = s.select(
@@ -422,11 +419,11 @@ def by_state(spark, folder):
 @query(
     "distance",
     f"""
-SELECT a.s_suppkey AS s_suppkey, c_custkey, round({km(lng_sql('s_suppkey'), lat_sql('s_suppkey'), lng_sql('c_custkey'), lat_sql('c_custkey'))}, 6) AS km
-FROM supplier a JOIN customer ON c_nationkey = s_nationkey""",
+SELECT l_orderkey, l_linenumber, round({km(lng_sql('l_suppkey'), lat_sql('l_suppkey'), lng_sql('o_custkey'), lat_sql('o_custkey'))}, 6) AS km
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
 )
 def distance(spark, folder):
-    s, c = table(spark, folder, "supplier"), table(spark, folder, "customer")
-    pairs = s.join(c, F.col("c_nationkey") == F.col("s_nationkey"))
-    a, b = F.col("s_suppkey"), F.col("c_custkey")
-    return pairs.select(a, b, F.round(haversine_km(lng(a), lat(a), lng(b), lat(b)), 6).alias("km"))
+    """Between the supplier and the customer of each order line: one pair a line."""
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    a, b = F.col("l_suppkey"), F.col("o_custkey")
+    return lines.select("l_orderkey", "l_linenumber", F.round(haversine_km(lng(a), lat(a), lng(b), lat(b)), 6).alias("km"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartolex.functions.text import clean_url, normalize_text, trim_all
 from cartolex.operators.dedupe import spatial_dedupe
+from cartolex.session import durable
 from cartolex.vocab import rules
 
 REASONS = ("no-name", "hidden", "closed", "low-confidence", "chain", "duplicate")
@@ -22,10 +23,9 @@ def first_reason(rules_in_order: Sequence[tuple[str, Column]]) -> Column:
     return out
 
 
-def drop_cascade(df: DataFrame, rules_in_order: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped with ``reason``); both read the same single pass."""
-    judged = df.withColumn("reason", first_reason(rules_in_order))
-    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
+def drop_cascade(df: DataFrame, rules_in_order: Sequence[tuple[str, Column]]) -> DataFrame:
+    """Add ``reason``: the first rule that drops the row; NULL for rows that stay. One frame, so nothing is judged twice."""
+    return df.withColumn("reason", first_reason(rules_in_order))
 
 
 def word_prefixes(normalized: Column) -> Column:
@@ -156,7 +156,7 @@ def curate(
     marked = flag_ids(flat, "id", hide, "_hidden")
     marked = flag_ids(marked, "id", denied_ids(flat, "id", [F.col("name"), F.col("brand")], deny), "_chain")
     name = trim_all(F.coalesce(F.col("name"), F.lit("")))
-    kept, dropped = drop_cascade(
+    judged = drop_cascade(
         marked,
         [
             ("no-name", name == ""),
@@ -166,8 +166,11 @@ def curate(
             ("chain", F.col("_chain")),
         ],
     )
-    candidates = project_candidate(kept, region_id, roaster_categories)
-    judged = spatial_dedupe(
+    # Kept and dropped rows both come from here: judged once, stored once.
+    judged = durable(judged)
+    dropped = judged.filter("reason IS NOT NULL")
+    candidates = project_candidate(judged.filter("reason IS NULL"), region_id, roaster_categories)
+    unlike = spatial_dedupe(
         candidates,
         "id",
         normalize_text(F.col("name")),
@@ -177,9 +180,9 @@ def curate(
         dedupe_m,
     )
     drops = dropped.select("id", name.alias("name"), "reason").unionByName(
-        judged.filter(~F.col("kept")).select("id", "name", F.lit("duplicate").alias("reason"))
+        unlike.filter(~F.col("kept")).select("id", "name", F.lit("duplicate").alias("reason"))
     )
-    unique = apply_patch(judged.filter("kept").drop("kept"), patch)
+    unique = apply_patch(unlike.filter("kept").drop("kept"), patch)
     manual = manual_additions(add, hide, patch, region_id)
     address_type = unique.schema["address"].dataType
     manual = manual.withColumn(

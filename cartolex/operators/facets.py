@@ -164,11 +164,17 @@ def sort_entities(index: DataFrame, point: tuple[float, float] | None = None) ->
     return index.orderBy(*entity_order(point), F.col("id"))
 
 
-def order_items(items: DataFrame, f: Filters, within: Sequence[str] = ()) -> DataFrame:
-    """Items with ``matches``: matches first, then in stock, then by name."""
+def title_label(value: Column) -> Column:
+    """The first letter of every run of word characters raised, all else as it is: ``sl-28a`` gives ``Sl-28a``."""
+    parts = F.regexp_extract_all(value, F.lit(r"\w+|\W+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "")
+
+
+def order_items(items: DataFrame, f: Filters, within: Sequence[str] = (), id: str = "item_id") -> DataFrame:
+    """Items with ``matches``: matches first, then in stock, then by name, ties by id."""
     marked = items.withColumn("matches", item_matches(f))
     in_stock = F.coalesce(F.col("in_stock"), F.lit(True))
-    return marked.orderBy(*within, F.desc("matches"), in_stock.desc(), F.collate(F.col("name"), "UNICODE"))
+    return marked.orderBy(*within, F.desc("matches"), in_stock.desc(), F.collate(F.col("name"), "UNICODE"), F.col(id))
 
 
 ARRAY_DIMS = ("roast_levels", "processes", "origin_countries", "flavor_families", "varieties")
@@ -201,7 +207,7 @@ def group_by_continent(codes: DataFrame, countries: DataFrame) -> DataFrame:
         F.coalesce("name", "code").alias("name"),
         "code",
     )
-    # Codes are a closed vocabulary, so each list is short.
+    # Known codes are a closed vocabulary; what is not in it is listed in full under "Other".
     return (
         listed.groupBy("ord", "continent")
         .agg(F.array_sort(F.collect_list(F.struct("name", "code"))).alias("_c"))
@@ -262,7 +268,7 @@ def options_for(dim: str, index: DataFrame, selected: Sequence[str], countries:
             F.lit("Variety").alias("title"),
             F.col("_late").alias("ord"),
             "value",
-            F.initcap("value").alias("label"),
+            title_label(F.col("value")).alias("label"),
             F.lit(False).alias("child"),
         )
         return decaf.unionByName(varieties).orderBy("group_ord", "ord", "value")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cartolex.functions.geo import geohash
 from cartolex.functions.numbers import round_half_up, valid_range
 from cartolex.operators.corpus import group_fingerprint
-from cartolex.operators.facets import Filters, apply_filters, item_matches, order_items
+from cartolex.operators.facets import Filters, apply_filters, item_matches, order_items, title_label
 from cartolex.operators.keep import cap_per_group, keep_first
 from cartolex.operators.running import with_running
 from cartolex.operators.shards import shard_by_bytes
@@ -86,7 +86,7 @@ def test_items_match_on_one_item(spark):
     )
     f = Filters(roast_levels=["light"], flavor_families=["fruity"], varieties=["Geisha"])
     assert f.active == 3 and f.about_items
-    assert [(r.id, r.matches) for r in order_items(items, f).collect()] == [("1", True), ("2", False), ("3", False)]
+    assert [(r.id, r.matches) for r in order_items(items, f, id="id").collect()] == [("1", True), ("2", False), ("3", False)]
     assert not any(r.m for r in items.select(item_matches(Filters(kinds=["cafe"])).alias("m")).collect())
     assert [r.id for r in items.filter(item_matches(Filters(decaf_only=True))).collect()] == ["2"]
 
@@ -137,3 +137,16 @@ def test_empty_filter_keeps_all(spark):
     df = spark.createDataFrame([("cafe",), (None,)], "kind string")
     assert apply_filters(df, Filters()).count() == 2
     assert apply_filters(df, Filters(kinds=["roaster"])).count() == 0
+
+
+def test_published_region_without_rows_is_emptied(spark, tmp_path):
+    df = spark.createDataFrame([("1", "x", "nyc"), ("2", "y", "boston")], "id string, name string, region_id string")
+    index = str(tmp_path / "index")
+    write_index(df, index)
+    write_index(df.filter("region_id = 'nyc'"), index, regions=["nyc", "boston"])
+    assert load_index(spark, index, "boston").count() == 0 and load_index(spark, index, "nyc").count() == 1
+
+
+def test_labels_raise_letters_only(spark):
+    df = spark.createDataFrame([("sl-28a",), ("brand#x",), ("red BOURBON",), ("",)], "v string")
+    assert [r[0] for r in df.select(title_label(F.col("v"))).collect()] == ["Sl-28a", "Brand#X", "Red BOURBON", ""]
