@@ -8,6 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings import query, table
+from cartolex.functions.display import top_families
+from cartolex.functions.hashing import strip_volatile
+from cartolex.functions.taxonomy import children, roots
 from cartolex.operators.corpus import detect_platform
 from cartolex.operators.discover import order_by_name
 from cartolex.operators.facets import Filters, order_items
@@ -148,3 +151,44 @@ def platform_headers(spark, folder):
     )
     found = detect_platform(pages, pinned="pin", markers=[('lang="fr"', "woocommerce")], headers="headers", header_markers=[("x-powered-by", "(?i)^shop-host", "shopify")])
     return found.select("page_id", "platform")
+
+
+@query(
+    "taxonomy_parts",
+    """
+WITH t AS (SELECT DISTINCT p_type AS id FROM part UNION SELECT DISTINCT p_type || '/' || p_brand FROM part)
+SELECT CASE WHEN contains(id, '/') THEN 'child' ELSE 'root' END AS part, id FROM t WHERE NOT contains(id, '/') OR starts_with(id, 'ECONOMY/')""",
+)
+def taxonomy_parts(spark, folder):
+    part = table(spark, folder, "part")
+    ids = part.select(F.col("p_type").alias("id")).unionByName(part.select(F.concat_ws("/", "p_type", "p_brand").alias("id"))).distinct()
+    return roots(ids).select(F.lit("root").alias("part"), "id").unionByName(children(ids, "ECONOMY").select(F.lit("child").alias("part"), "id"))
+
+
+@query(
+    "family_labels",
+    """
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Fruity|Sweet' WHEN 1 THEN 'Spices|Roasted|Fruity' WHEN 2 THEN '' ELSE 'Nutty / cocoa' END AS labels FROM customer""",
+)
+def family_labels(spark, folder):
+    """Labels of at most three top-level families."""
+    kind = F.col("c_custkey") % 4
+    listed = lambda *names: F.array(*[F.lit(n) for n in names])
+    families = (
+        F.when(kind == 0, listed("fruity/berry", "sweet", "fruity/citrus"))
+        .when(kind == 1, listed("spices", "roasted", "fruity", "sweet/vanilla"))
+        .when(kind == 2, F.array().cast("array<string>"))
+        .otherwise(listed("nutty-cocoa/cocoa", "nutty-cocoa/nutty"))
+    )
+    return table(spark, folder, "customer").select("c_custkey", F.array_join(top_families(families), "|").alias("labels"))
+
+
+@query(
+    "stable_part",
+    "SELECT c_custkey, sha256('{\"c_name\":\"' || c_name || '\"}') AS hash FROM customer",
+)
+def stable_part(spark, folder):
+    """What is left of a row without its volatile columns decides its hash."""
+    named = table(spark, folder, "customer").select("c_custkey", "c_name", F.lit("2024-01-01").alias("lastSeen"))
+    bare = strip_volatile(named, frozenset({"lastSeen"}))
+    return bare.select("c_custkey", F.sha2(F.to_json(F.struct("c_name")), 256).alias("hash"))

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Checkpoints that nothing reads any more go away.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -55,8 +57,12 @@ def spread(scan: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core.
 
     A small table in one row group is read by a single task, which would then
-    do all the text work after it. A scan that already has enough splits, as
-    any large one does, is returned as it is.
+    do all the text work after it. A scan of a full split or more for each core,
+    as any large one is, is returned as it is. Results are equal either way.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    split = bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return scan if size >= cores * split else scan.repartition(cores)
