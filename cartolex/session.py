@@ -62,7 +62,7 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     split = bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     return scan if size >= cores * split else scan.repartition(cores)
