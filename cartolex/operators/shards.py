@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from cartolex.operators.running import with_running
 from cartolex.session import durable
 from cartolex.vocab.enums import MAX_DOCUMENT_BYTES
 
+# Tasks carry the functions of this module with them: workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SHARDS_PER_NODE = 64
 
 

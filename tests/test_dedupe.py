@@ -58,3 +58,16 @@ def test_many_copies_of_one_spot(spark):
 def test_empty(spark):
     judged, _ = run(spark, [])
     assert judged.count() == 0
+
+
+def test_rising_priorities_end_in_a_few_rounds(spark, monkeypatch):
+    # Two thousand spots 40 m apart, each better than the one before: only one is a local best at a time.
+    from cartolex.operators import dedupe
+
+    rounds = []
+    durable = dedupe.durable
+    monkeypatch.setattr(dedupe, "durable", lambda df: rounds.append(1) or durable(df))
+    points = [(i, "a", i * 0.00036, 0.0, 2000 - i) for i in range(2000)]
+    judged, _ = run(spark, points)
+    assert {r.id for r in judged.filter("kept").collect()} == {p[0] for p in greedy(points, 50.0)}
+    assert len(rounds) <= 6
