@@ -122,7 +122,8 @@ def _array_of(anchors, contents, docs, buckets: int, by_content: bool):
     heads = np.flatnonzero(new)
     late = docs > docs[heads][group] if len(docs) else new
     if late.any():
-        yield from _run(0, anchors[late], contents[late], docs[late], REPEAT)
+        # These go through as they are, in any bucket.
+        yield from _run(int(docs[late][0] % buckets), anchors[late], contents[late], docs[late], REPEAT)
     anchors, contents, docs = anchors[heads], contents[heads], docs[heads]
     if by_content:
         yield from _deal(mix(contents * _C[1]), anchors, contents, docs, 0, buckets)
