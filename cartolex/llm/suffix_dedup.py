@@ -126,7 +126,7 @@ def _array_of(anchors, contents, docs, buckets: int, by_content: bool):
         yield from _run(int(docs[late][0] % buckets), anchors[late], contents[late], docs[late], REPEAT)
     anchors, contents, docs = anchors[heads], contents[heads], docs[heads]
     if by_content:
-        yield from _deal(mix(contents * _C[1]), anchors, contents, docs, 0, buckets)
+        yield from _deal(contents, anchors, contents, docs, 0, buckets)
         return
     order = np.argsort(anchors, kind="stable")
     anchors, contents, docs = anchors[order], contents[order], docs[order]
@@ -136,16 +136,17 @@ def _array_of(anchors, contents, docs, buckets: int, by_content: bool):
         hot = np.repeat(sizes > HOT, sizes)
         # Two entries stay with the anchor: they tell its bucket that the anchor is contested.
         within = np.arange(len(anchors)) - np.repeat(starts, sizes)
-        yield from _deal(mix(contents[hot] * _C[1]), anchors[hot], contents[hot], docs[hot], CONTESTED, buckets)
+        yield from _deal(contents[hot], anchors[hot], contents[hot], docs[hot], CONTESTED, buckets)
         keep = ~hot | (within < 2)
         anchors, contents, docs = anchors[keep], contents[keep], docs[keep]
     yield from _deal(anchors, anchors, contents, docs, 0, buckets)
 
 
 def _deal(by, anchors, contents, docs, state: int, buckets: int):
-    bucket = ((by >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+    # Anchors are minima, so most are small: buckets go by a mix of them.
+    bucket = ((mix(by * _C[1]) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
     # Within a bucket in the order of what it is dealt by: sorted numbers pack well.
-    order = np.lexsort((by if by is anchors else contents, bucket))
+    order = np.lexsort((by, bucket))
     bucket = bucket[order]
     cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket)) if len(bucket) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
