@@ -121,8 +121,13 @@ def fit(texts: list[tuple[np.ndarray, int]], grades: int, rounds: int = 12, rate
     of less than the share ``rare`` of the texts have no weight; ``power`` says how much the rarer grades count for more.
     """
     rng = np.random.default_rng(1)
-    often = np.bincount(np.concatenate([p for p, _ in texts]) if texts else [], minlength=1 << BITS) >= max(RARE, rare * len(texts))
-    weights, history, pull = (np.zeros(1 << BITS) for _ in range(3))
+    seen = np.zeros(1 << BITS, np.int32)
+    for k in range(0, len(texts), 500):
+        np.add.at(seen, np.concatenate([p for p, _ in texts[k : k + 500]]), 1)
+    # Only these features are fitted, under numbers of their own.
+    often = np.flatnonzero(seen >= max(RARE, rare * len(texts))).astype(np.int32)
+    del seen
+    weights, history, pull = (np.zeros(len(often)) for _ in range(3))
     counts = np.bincount([g for _, g in texts], minlength=grades) + 1.0
     share = np.cumsum(counts)[:-1] / counts.sum()
     base = np.log(share / (1 - share))
@@ -131,7 +136,8 @@ def fit(texts: list[tuple[np.ndarray, int]], grades: int, rounds: int = 12, rate
     past = np.full(len(free), 1e-2)
     importance = (counts.sum() / (grades * counts)) ** power
     order = np.arange(len(texts))
-    texts = [(p[often[p]], g) for p, g in texts]
+    known = [np.isin(p, often, assume_unique=True) for p, _ in texts]
+    texts = [(np.searchsorted(often, p[k]), g) for (p, g), k in zip(texts, known, strict=True)]
     for _ in range(rounds):
         rng.shuffle(order)
         for some in np.array_split(order, max(1, len(order) // 16)):
@@ -165,7 +171,9 @@ def fit(texts: list[tuple[np.ndarray, int]], grades: int, rounds: int = 12, rate
             g = np.concatenate([tail[:1], tail[1:] * np.exp(free[1:])])
             past += g * g
             free -= 0.1 * g / np.sqrt(past)
-    return Model(weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
+    whole = np.zeros(1 << BITS)
+    whole[often] = weights
+    return Model(whole, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
 
 
 def train(documents: DataFrame, graded: DataFrame, grades: int = 3, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -189,9 +197,27 @@ def train(documents: DataFrame, graded: DataFrame, grades: int = 3, sample: int
             places = places.astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([places[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), part.column(1)], ["places", "grade"])
 
-    found = rows.mapInArrow(task, "places binary, grade int").collect()
-    found.sort(key=lambda r: (bytes(r[0]), r[1]))
-    return fit([(np.frombuffer(bytes(p), np.int32).astype(np.int64), g) for p, g in found], grades)
+    def fitted(batches):
+        # In an order of their own, so that the model does not depend on how the rows came.
+        held = sorted((p, g) for batch in batches for p, g in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = fit([(np.frombuffer(p, np.int32), g) for p, g in held], grades)
+        places = np.flatnonzero(model.weights)
+        values = np.concatenate([model.thresholds, model.weights[places]])
+        at = np.concatenate([-1 - np.arange(len(model.thresholds)), places])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(values, pa.float64())], ["place", "value"])
+
+    # One task, not the driver, holds the sample, whose size is bounded; the few weights that are not zero come back.
+    sample_rows = rows.mapInArrow(task, "places binary, grade int").repartition(1)
+    found = sample_rows.mapInArrow(fitted, "place long, value double").collect()
+    if not found:
+        return fit([], grades)
+    weights, cuts = np.zeros(1 << BITS), {}
+    for place, value in found:
+        if place < 0:
+            cuts[place] = value
+        else:
+            weights[place] = value
+    return Model(weights, np.array([cuts[-1 - k] for k in range(grades - 1)]))
 
 
 def score(documents: DataFrame, model: Model, least: int, text: str = "text") -> DataFrame:
