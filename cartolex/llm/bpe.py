@@ -24,7 +24,7 @@ from cartolex.llm.common import flat, pieces, ship
 #: Bytes of the longest piece that is merged in lockstep with others, and pieces merged at a time.
 WIDE, ROWS = 32, 20_000
 #: Words, and pieces of words, whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Bytes of text taken at a time; characters of a text split at a time.
 CHUNK, SPLIT = 2 << 20, 4 << 20
 #: A vocabulary larger than this is no broadcast.
@@ -48,7 +48,6 @@ class Codec:
         self.ranks = read_ranks(content)
         self.pattern = regex.compile(pattern)
         self.words = re.compile(words) if words else self.pattern
-        self.bytes_of = {r: b for b, r in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.pairs = {}
         for token, rank in self.ranks.items():
@@ -220,12 +219,17 @@ class Codec:
         find = self.known.__getitem__
         return [b"".join([i for some in own for i in map(find, some)]) for own in held]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of ids; a null or unknown id is an error of the caller and raises."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
 
 _codecs: dict[tuple, Codec] = {}
+_tables: dict[str, dict[int, bytes]] = {}
+
+
+def bytes_of(content: bytes) -> dict[int, bytes]:
+    """Bytes by id of a rank file, all that decoding needs; built once in each worker."""
+    key = hashlib.sha256(content).hexdigest()
+    if key not in _tables:
+        _tables[key] = {r: b for b, r in read_ranks(content).items()}
+    return _tables[key]
 
 
 def codec(content: bytes, pattern: str, words: str | None = None) -> Codec:
@@ -269,21 +273,24 @@ def encode(documents: DataFrame, path: str, pattern: str, words: str | None = No
     return frame.mapInArrow(task, schema)
 
 
-def decode(frame: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """The rows with ``to`` (binary), the bytes of their ``ids``; null ids give no bytes. All other columns stay."""
+def decode(frame: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """The rows with ``to`` (binary), the bytes of their ``ids``. All other columns stay.
+
+    Null ids give no bytes; an id that the file lacks is an error of the caller and raises.
+    """
     spark = frame.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast((read_file(path), pattern))
+    held = spark.sparkContext.broadcast(read_file(path))
     keep = [c for c in frame.columns if c != to]
     place = keep.index(ids)
 
     def task(batches):
-        own = codec(*held.value)
+        find = bytes_of(held.value).__getitem__
         for batch in batches:
             column = batch.column(place)
             values = column.flatten().to_numpy(zero_copy_only=False)
             at = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            found = [own.decode(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            found = [b"".join(map(find, values[a:b].tolist())) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*keep, to])
 
     frame = frame.select(*(F.col(f"`{c}`") for c in keep))

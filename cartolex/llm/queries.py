@@ -40,7 +40,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
     path = public.path("byte_bpe_50k.tiktoken")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path, public.PATTERN, WORDS).drop("text"), path, public.PATTERN)
+    out = decode(encode(docs, path, public.PATTERN, WORDS).drop("text"), path)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select(
         "doc_id",

@@ -44,7 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
-    out = decode(encode(docs.select("doc_id", "lang", "source", "text"), RANKS, public.PATTERN, WORDS), RANKS, public.PATTERN)
+    out = decode(encode(docs.select("doc_id", "lang", "source", "text"), RANKS, public.PATTERN, WORDS), RANKS)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"), "ids")
 

@@ -33,7 +33,7 @@ def texts():
 def test_against_library(spark, library, words):
     rows = [(i, t, "kept") for i, t in enumerate(texts())] + [(0, "again", None), (None, "no id", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
-    got = decode(encode(df, PATH, public.PATTERN, words), PATH, public.PATTERN).collect()
+    got = decode(encode(df, PATH, public.PATTERN, words), PATH).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.ids == library.encode_ordinary(r.text or "")
