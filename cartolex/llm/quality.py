@@ -125,8 +125,12 @@ def fit(texts: list[tuple[np.ndarray, int]], grades: int, rounds: int = 12, rate
     for k in range(0, len(texts), 500):
         np.add.at(seen, np.concatenate([p for p, _ in texts[k : k + 500]]), 1)
     # Only these features are fitted, under numbers of their own.
-    often = np.flatnonzero(seen >= max(RARE, rare * len(texts))).astype(np.int32)
-    del seen
+    fitted = seen >= max(RARE, rare * len(texts))
+    often = np.flatnonzero(fitted).astype(np.int32)
+    # Look up in two tables: a search for each text would leave the worker's memory in pieces.
+    number = (np.cumsum(fitted) - 1).astype(np.int32)
+    texts = [(number[p[fitted[p]]], g) for p, g in texts]
+    del seen, number, fitted
     weights, history, pull = (np.zeros(len(often)) for _ in range(3))
     counts = np.bincount([g for _, g in texts], minlength=grades) + 1.0
     share = np.cumsum(counts)[:-1] / counts.sum()
@@ -136,8 +140,6 @@ def fit(texts: list[tuple[np.ndarray, int]], grades: int, rounds: int = 12, rate
     past = np.full(len(free), 1e-2)
     importance = (counts.sum() / (grades * counts)) ** power
     order = np.arange(len(texts))
-    known = [np.isin(p, often, assume_unique=True) for p, _ in texts]
-    texts = [(np.searchsorted(often, p[k]), g) for (p, g), k in zip(texts, known, strict=True)]
     for _ in range(rounds):
         rng.shuffle(order)
         for some in np.array_split(order, max(1, len(order) // 16)):
