@@ -2,18 +2,22 @@
 
 Each host has a tree of path segments. Segments that are plainly variable (numbers, dates, long hexadecimal strings) become
 wildcards at once; a branching with more children than ``children`` becomes one wildcard. From the top down, children whose
-shares of good labels do not differ by a test of proportions are merged, and their subtrees with them. What is left are
+shares of good labels differ by a test of proportions from the rest of their branching are set apart, alike ones together, and
+the others, with those that have no labels, are merged; their subtrees with them. What is left are
 templates; each is judged by its labelled share of good pages, smoothed towards its host's, which is smoothed towards that of
 all pages. The tree is made of counts by template: pages are aggregated before anything is compared.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import stored
+from cartolex.llm.common import ship, stored
 
 #: Levels of the tree; what lies deeper is one wildcard.
 DEPTH = 4
@@ -21,7 +25,7 @@ DEPTH = 4
 CHILDREN = 50
 #: Labels' worth of the parent's share that is mixed into a share.
 STRENGTH = 10.0
-#: Standard deviations from which on two shares differ.
+#: Standard deviations from which on two shares differ, if only these two are compared.
 DIFFERS = 1.96
 
 
@@ -53,23 +57,69 @@ def _segments(path: Column, depth: int) -> list[Column]:
     return [*own, F.when(F.size(parts) >= depth, "**").otherwise("")]
 
 
+def _alike(labelled: np.ndarray, good: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Groups of the labelled children of one branching, given as distinct counts and how many children have them.
+
+    Children that differ from the rest of their branching leave it, until none does: what stays is group 0. Those that left,
+    most labels first, join the group whose pooled counts are nearest, or open one if they differ from all. Among many
+    children some differ by chance, so the more are compared the larger a difference has to be.
+    """
+    normal = NormalDist()
+    differs = -normal.inv_cdf(normal.cdf(-DIFFERS) / max(int(times.sum()), 1))
+
+    def gap(n, g, m, h):
+        one, two = (g + 0.5) / (n + 1.0), (h + 0.5) / (m + 1.0)
+        return np.abs(one - two) / np.sqrt(one * (1 - one) / (n + 1.0) + two * (1 - two) / (m + 1.0))
+
+    stays = np.ones(len(labelled), bool)
+    while True:
+        n, g = ((c * times)[stays].sum() for c in (labelled, good))
+        leaves = stays & (n > labelled) & (gap(labelled, good, np.maximum(n - labelled, 0), np.maximum(g - good, 0)) >= differs)
+        if not leaves.any():
+            break
+        stays &= ~leaves
+    groups, pooled_n, pooled_g = np.zeros(len(labelled), np.int64), np.zeros(0), np.zeros(0)
+    for i in np.lexsort((good, -labelled)):
+        if stays[i]:
+            continue
+        far = gap(pooled_n, pooled_g, labelled[i], good[i])
+        k = int(far.argmin()) if len(far) else 0
+        if not len(far) or far[k] >= differs:
+            k, pooled_n, pooled_g = len(far), np.append(pooled_n, 0.0), np.append(pooled_g, 0.0)
+        pooled_n[k] += times[i] * labelled[i]
+        pooled_g[k] += times[i] * good[i]
+        groups[i] = k + 1
+    return groups
+
+
+def _grouped(stats: DataFrame, branching: list[str]) -> DataFrame:
+    """The group of each pair of counts in each branching.
+
+    Children of equal counts are one row of a partial aggregate: a task holds the distinct counts of a branching, which are
+    few beside its labels, and not its children.
+    """
+    pairs = stats.filter("b_labelled > 0").groupBy(*branching, "b_labelled", "b_good").agg(F.count("*").alias("times"))
+
+    def task(rows: pa.Table) -> pa.Table:
+        counts = [rows.column(c).to_numpy() for c in ("b_labelled", "b_good", "times")]
+        return rows.drop_columns(["times"]).append_column("part", pa.array(_alike(*counts), pa.int64()))
+
+    kinds = dict(stats.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*branching, "b_labelled", "b_good"])
+    return pairs.groupBy(*branching).applyInArrow(task, f"{schema}, part bigint")
+
+
 def _merged(counts: DataFrame, level: int, prefix: list[str], children: int) -> DataFrame:
     """Replace the names of one level by those of the groups of branches that are alike."""
     name = f"s{level}"
     stats = counts.groupBy(*prefix, name).agg(F.sum("labelled").alias("b_labelled"), F.sum("good").alias("b_good"))
     width = stats.groupBy(*prefix).agg(F.count("*").alias("width"))
     # Only branchings of bounded width are compared; a wider one is a wildcard as a whole.
-    narrow = stats.join(width.filter(F.col("width") <= children).select(*prefix), prefix, "left_semi")
-    order = W.partitionBy(*prefix).orderBy("share", name)
-    share = (F.col("b_good") + 0.5) / (F.col("b_labelled") + 1.0)
-    near = narrow.withColumn("share", share).withColumn("spread", F.col("share") * (1 - F.col("share")) / (F.col("b_labelled") + 1.0))
-    near = near.withColumn("gap", F.col("share") - F.lag("share").over(order)).withColumn("room", F.sqrt(F.col("spread") + F.lag("spread").over(order)))
-    near = near.withColumn("new", F.when(F.col("gap") >= DIFFERS * F.col("room"), 1).otherwise(0))
-    near = near.withColumn("part", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     # Text that stops here stays apart from text that goes on.
-    near = near.withColumn("ends", F.col(name) == "")
-    groups = near.groupBy(*prefix, "part", "ends").agg(F.array_join(F.array_sort(F.collect_list(name)), "|").alias("label"))
-    labels = near.join(groups, [*prefix, "part", "ends"]).select(*prefix, name, "label")
+    narrow = stats.join(width.filter(F.col("width") <= children).select(*prefix), prefix, "left_semi").filter(F.col(name) != "")
+    near = narrow.join(_grouped(narrow, prefix), [*prefix, "b_labelled", "b_good"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    groups = near.groupBy(*prefix, "part").agg(F.array_join(F.array_sort(F.collect_list(name)), "|").alias("label"))
+    labels = near.join(groups, [*prefix, "part"]).select(*prefix, name, "label")
     out = counts.join(labels, [*prefix, name], "left")
     return out.withColumn(name, F.coalesce("label", F.when(F.col(name) == "", "").otherwise("*"))).drop("label")
 
@@ -82,6 +132,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     good labels), a row for each row of the input. A null url, or one without ``://``, has an empty host and path and is
     judged with its like. Without any labels all shares are 1. Other columns are not read.
     """
+    ship(pages.sparkSession)
     host, path = host_and_path(F.col(f"`{url}`").cast("string"))
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     names = [f"s{i}" for i in range(depth)]

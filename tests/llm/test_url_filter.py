@@ -66,6 +66,31 @@ def test_wide_branching_is_a_wildcard(spark):
     assert {r.template for r in got} == {"h.example/*"}
 
 
+def judged(spark, parts, **options):
+    """Verdicts by part of a path on one host: ``parts`` has (part, pages, labelled, good) each."""
+    pages, labels = [], []
+    for part, n, labelled, good in parts:
+        for j in range(n):
+            if j < labelled:
+                labels.append((len(pages), j < good))
+            pages.append((len(pages), f"http://h.example/{part}", "x", "x"))
+    got = u.judge_urls(spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(labels, "page_id long, good boolean"), [], **options).collect()
+    assert len(got) == len(pages)
+    return {p: {(r.verdict, r.template) for r in got if r.path == f"/{p}"} for p, *_ in parts}
+
+
+def test_children_with_few_labels_do_not_bridge(spark):
+    got = judged(spark, [("spam", 400, 400, 20), ("misc", 5, 0, 0), ("few", 5, 2, 1), ("news", 400, 400, 380), ("", 5, 0, 0)])
+    assert {v for v, _ in got["spam"]} == {"block"} and {v for v, _ in got["news"]} == {"allow"}
+    assert len({t for found in got.values() for _, t in found}) == 4  # misc and few are one
+
+
+def test_a_chain_of_alike_neighbours_is_split(spark):
+    got = judged(spark, [(f"p{chr(97 + i)}", 60, 60, 6 * i) for i in range(11)])
+    assert {v for v, _ in got["pa"] | got["pb"]} == {"block"} and {v for v, _ in got["pj"] | got["pk"]} == {"allow"}
+    assert got["pa"] != got["pk"]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, good boolean")
     assert u.judge_urls(spark.createDataFrame([], SCHEMA), none, RULES).collect() == []
