@@ -1,10 +1,10 @@
 """URL filtering: fixed rules first, then path templates judged by the labels seen under them.
 
 Each host has a tree of path segments. Segments that are plainly variable (numbers, dates, long hexadecimal strings) become
-wildcards at once; a branching with more children than ``children`` becomes one wildcard. From the top down, children whose
+wildcards at once. From the top down, children whose
 shares of good labels differ by a test of proportions from the rest of their branching are set apart, alike ones together, and
-the others, with those that have no labels, are merged; their subtrees with them. What is left are
-templates; each is judged by its labelled share of good pages, smoothed towards its host's, which is smoothed towards that of
+the others, with those that have no labels, are merged, into a wildcard where the branching has more than ``children``; their
+subtrees with them. What is left are templates; each is judged by its labelled share of good pages, smoothed towards its host's, which is smoothed towards that of
 all pages. The tree is made of counts by template: pages are aggregated before anything is compared.
 """
 
@@ -21,7 +21,7 @@ from cartolex.llm.common import ship, stored
 
 #: Levels of the tree; what lies deeper is one wildcard.
 DEPTH = 4
-#: Children of a branching before it becomes a wildcard.
+#: Names that a template spells out at one level; children are compared however many there are.
 CHILDREN = 50
 #: Labels' worth of the parent's share that is mixed into a share.
 STRENGTH = 10.0
@@ -113,15 +113,21 @@ def _merged(counts: DataFrame, level: int, prefix: list[str], children: int) ->
     """Replace the names of one level by those of the groups of branches that are alike."""
     name = f"s{level}"
     stats = counts.groupBy(*prefix, name).agg(F.sum("labelled").alias("b_labelled"), F.sum("good").alias("b_good"))
-    width = stats.groupBy(*prefix).agg(F.count("*").alias("width"))
-    # Only branchings of bounded width are compared; a wider one is a wildcard as a whole.
     # Text that stops here stays apart from text that goes on.
-    narrow = stats.join(width.filter(F.col("width") <= children).select(*prefix), prefix, "left_semi").filter(F.col(name) != "")
-    near = narrow.join(_grouped(narrow, prefix), [*prefix, "b_labelled", "b_good"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    groups = near.groupBy(*prefix, "part").agg(F.array_join(F.array_sort(F.collect_list(name)), "|").alias("label"))
-    labels = near.join(groups, [*prefix, "part"]).select(*prefix, name, "label")
+    stats = stats.filter(F.col(name) != "")
+    near = stats.join(_grouped(stats, prefix), [*prefix, "b_labelled", "b_good"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    star = F.max(F.col(name) == "*")
+    width = near.groupBy(*prefix).agg(F.count("*").alias("width"), star.alias("any_star"))
+    sizes = near.groupBy(*prefix, "part").agg(F.count("*").alias("names"), F.min(name).alias("first"), F.max(name).alias("last"), star.alias("star"))
+    short = near.join(sizes.filter(F.col("names") <= children).select(*prefix, "part"), [*prefix, "part"], "left_semi")
+    short = short.groupBy(*prefix, "part").agg(F.array_join(F.array_sort(F.collect_list(name)), "|").alias("all"))
+    # Of a wide branching the children that do not differ are the wildcard; only short lists of names are spelled out.
+    others = F.when((F.col("part") == 0) & (F.col("width") > children), F.when(F.col("any_star") & ~F.col("star"), "*|*").otherwise("*"))
+    groups = sizes.join(width, prefix).join(short, [*prefix, "part"], "left")
+    groups = groups.select(*prefix, "part", F.coalesce(others, "all", F.concat_ws("|", "first", F.lit("*"), "last")).alias("label"))
+    labels = near.select(*prefix, name, "part").join(groups, [*prefix, "part"]).select(*prefix, name, "label")
     out = counts.join(labels, [*prefix, name], "left")
-    return out.withColumn(name, F.coalesce("label", F.when(F.col(name) == "", "").otherwise("*"))).drop("label")
+    return out.withColumn(name, F.coalesce("label", F.lit(""))).drop("label")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, depth: int = DEPTH, children: int = CHILDREN, page_id: str = "page_id", url: str = "url") -> DataFrame:

@@ -91,6 +91,15 @@ def test_a_chain_of_alike_neighbours_is_split(spark):
     assert got["pa"] != got["pk"]
 
 
+def test_children_of_a_wide_branching_are_judged(spark):
+    users = [(f"u{chr(97 + i % 26)}{chr(97 + i // 26)}", 3, i % 2, i % 4 == 1) for i in range(200)]
+    for extra in ([], [("7", 300, 300, 290)]):
+        got = judged(spark, [("spam", 300, 300, 12), ("news", 300, 300, 290), *users, *extra])
+        assert {v for v, _ in got["spam"]} == {"block"} and {v for v, _ in got["news"]} == {"allow"}
+        rest = {t for p, *_ in users for _, t in got[p]}
+        assert len(rest) == 1 and not rest & {t for p in ("spam", "news", *(p for p, *_ in extra)) for _, t in got[p]}
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, good boolean")
     assert u.judge_urls(spark.createDataFrame([], SCHEMA), none, RULES).collect() == []
