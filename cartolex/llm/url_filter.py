@@ -4,12 +4,13 @@ Each host has a tree of path segments. Segments that are plainly variable (numbe
 wildcards at once. From the top down, children whose
 shares of good labels differ by a test of proportions from the rest of their branching are set apart, alike ones together, and
 the others, with those that have no labels, are merged, into a wildcard where the branching has more than ``children``; their
-subtrees with them. What is left are templates; each is judged by its labelled share of good pages, smoothed towards its host's, which is smoothed towards that of
+subtrees with them; a subtree whose labels do not differ is folded. What is left are templates; each is judged by its labelled share of good pages, smoothed towards its host's, which is smoothed towards that of
 all pages. The tree is made of counts by template: pages are aggregated before anything is compared.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from cartolex.llm.common import ship, stored
 
-#: Levels of the tree; what lies deeper is one wildcard.
-DEPTH = 4
+#: Sums over the paths of a node, and the segments of its longest path.
+TOTALS = ["n_labelled", "n_good", "n_paths", "n_size"]
 #: Names that a template spells out at one level; children are compared however many there are.
 CHILDREN = 50
 #: Labels' worth of the parent's share that is mixed into a share.
@@ -49,12 +50,10 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def _segments(path: Column, depth: int) -> list[Column]:
-    """The first segments of a path with their plain variables as wildcards; one for all the rest."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+def _general(path: Column) -> Column:
+    """The segments of a path, joined by ``/``, with the plain variables as wildcards."""
     kind = lambda s: F.when(s.rlike(r"^[0-9]+$"), "*").when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "*").otherwise(F.regexp_replace(s, r"[0-9]{2,}", "*"))
-    own = [F.coalesce(kind(F.get(parts, F.lit(i))), F.lit("")) for i in range(depth - 1)]
-    return [*own, F.when(F.size(parts) >= depth, "**").otherwise("")]
+    return F.array_join(F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), kind), "/")
 
 
 def _alike(labelled: np.ndarray, good: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -109,31 +108,59 @@ def _grouped(stats: DataFrame, branching: list[str]) -> DataFrame:
     return pairs.groupBy(*branching).applyInArrow(task, f"{schema}, part bigint")
 
 
-def _merged(counts: DataFrame, level: int, prefix: list[str], children: int) -> DataFrame:
-    """Replace the names of one level by those of the groups of branches that are alike."""
-    name = f"s{level}"
-    stats = counts.groupBy(*prefix, name).agg(F.sum("labelled").alias("b_labelled"), F.sum("good").alias("b_good"))
-    # Text that stops here stays apart from text that goes on.
-    stats = stats.filter(F.col(name) != "")
-    near = stats.join(_grouped(stats, prefix), [*prefix, "b_labelled", "b_good"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    star = F.max(F.col(name) == "*")
-    width = near.groupBy(*prefix).agg(F.count("*").alias("width"), star.alias("any_star"))
-    sizes = near.groupBy(*prefix, "part").agg(F.count("*").alias("names"), F.min(name).alias("first"), F.max(name).alias("last"), star.alias("star"))
-    short = near.join(sizes.filter(F.col("names") <= children).select(*prefix, "part"), [*prefix, "part"], "left_semi")
-    short = short.groupBy(*prefix, "part").agg(F.array_join(F.array_sort(F.collect_list(name)), "|").alias("all"))
+def _merged(counts: DataFrame, children: int) -> DataFrame:
+    """The group of each branch (host, node, name), its label, and the totals of the group: branches that are alike."""
+    node = ["host", "node"]
+    stats = counts.groupBy(*node, "name").agg(F.sum("labelled").alias("b_labelled"), F.sum("good").alias("b_good"), F.count_if(F.col("labelled") > 0).alias("paths"), F.max("size").alias("size"))
+    near = stats.join(_grouped(stats, node), [*node, "b_labelled", "b_good"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    star = F.max(F.col("name") == "*")
+    width = near.groupBy(*node).agg(F.count("*").alias("width"), star.alias("any_star"))
+    totals = [F.sum("b_labelled").alias("n_labelled"), F.sum("b_good").alias("n_good"), F.sum("paths").alias("n_paths"), F.max("size").alias("n_size")]
+    sizes = near.groupBy(*node, "part").agg(F.count("*").alias("names"), F.min("name").alias("first"), F.max("name").alias("last"), star.alias("star"), *totals)
+    short = near.join(sizes.filter(F.col("names") <= children).select(*node, "part"), [*node, "part"], "left_semi")
+    short = short.groupBy(*node, "part").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("all"))
     # Of a wide branching the children that do not differ are the wildcard; only short lists of names are spelled out.
     others = F.when((F.col("part") == 0) & (F.col("width") > children), F.when(F.col("any_star") & ~F.col("star"), "*|*").otherwise("*"))
-    groups = sizes.join(width, prefix).join(short, [*prefix, "part"], "left")
-    groups = groups.select(*prefix, "part", F.coalesce(others, "all", F.concat_ws("|", "first", F.lit("*"), "last")).alias("label"))
-    labels = near.select(*prefix, name, "part").join(groups, [*prefix, "part"]).select(*prefix, name, "label")
-    out = counts.join(labels, [*prefix, name], "left")
-    return out.withColumn(name, F.coalesce("label", F.lit(""))).drop("label")
+    groups = sizes.join(width, node).join(short, [*node, "part"], "left")
+    label = F.coalesce(others, "all", F.concat_ws("|", "first", F.lit("*"), "last"))
+    groups = groups.select(*node, "part", label.alias("label"), *TOTALS)
+    return near.select(*node, "name", "part").join(groups, [*node, "part"])
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, depth: int = DEPTH, children: int = CHILDREN, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def _templates(counts: DataFrame, depth: int | None, children: int) -> DataFrame:
+    """The template (host, node) of each generalised path and its text, from ``counts`` (host, general, labelled, good).
+
+    A round for each level, over the nodes whose labels are mixed and on more than one path. The others are folded: below them
+    nothing can differ. So rounds end with the deepest node of mixed labels, whatever the longest path.
+    """
+    counts = counts.withColumn("size", F.when(F.col("general") == "", 0).otherwise(F.size(F.split("general", "/"))))
+    roots = counts.groupBy("host").agg(F.sum("labelled").alias("n_labelled"), F.sum("good").alias("n_good"), F.count_if(F.col("labelled") > 0).alias("n_paths"), F.max("size").alias("n_size"))
+    columns = ["host", "general", "labelled", "good", "size"]
+    open_ = counts.join(roots, "host").select(*columns, F.lit("").alias("node"), F.col("host").alias("text"), *TOTALS)
+    closed, level = [], 0
+    while True:
+        mixed = (F.col("n_good") > 0) & (F.col("n_good") < F.col("n_labelled")) & (F.col("n_paths") > 1)
+        goes = mixed if depth is None else mixed & F.lit(level < depth - 1)
+        open_ = stored(open_.withColumn("goes", goes), "templates")
+        # Text that stops here stays apart from text that goes on.
+        stops = F.col("goes") & (F.col("size") == level)
+        fold = F.when(F.col("goes") | (F.col("n_size") <= level), "").when(F.col("n_size") == level + 1, "/*").otherwise("/**")
+        done = open_.filter(~F.col("goes") | stops)
+        closed.append(done.select("host", "general", "labelled", "good", F.concat("node", F.when(stops, "!").otherwise("")).alias("node"), F.concat("text", fold).alias("template")))
+        going = open_.filter(F.col("goes") & (F.col("size") > level)).withColumn("name", F.get(F.split("general", "/"), F.lit(level)))
+        if going.isEmpty():
+            break
+        found = going.drop(*TOTALS).join(_merged(going, children), ["host", "node", "name"])
+        open_ = found.select(*columns, F.concat("node", F.lit("."), F.col("part").cast("string")).alias("node"), F.concat("text", F.lit("/"), "label").alias("text"), *TOTALS)
+        level += 1
+    return reduce(DataFrame.unionByName, closed)
+
+
+def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, depth: int | None = None, children: int = CHILDREN, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """A verdict on every url: the longest rule's, else its template's.
 
     ``labels`` has page_id and good (boolean): rows without either are left out, an id with both is good and bad once.
+    Templates are as deep as the labels differ, or have at most ``depth`` levels, the last one wildcard.
     Returns page_id, host, path, rule (null if none fits), verdict (allow or block), template and share (the smoothed share of
     good labels), a row for each row of the input. A null url, or one without ``://``, has an empty host and path and is
     judged with its like. Without any labels all shares are 1. Other columns are not read.
@@ -141,25 +168,19 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     ship(pages.sparkSession)
     host, path = host_and_path(F.col(f"`{url}`").cast("string"))
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    names = [f"s{i}" for i in range(depth)]
-    rows = rows.select("page_id", "host", "path", *(c.alias(n) for n, c in zip(names, _segments(F.col("path"), depth), strict=True)))
+    rows = rows.withColumn("general", _general(F.col("path")))
     given = labels.filter(F.col("page_id").isNotNull() & F.col("good").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), F.col("good").cast("int").alias("good")).groupBy("page_id").agg(F.count("*").alias("labelled"), F.sum("good").alias("good"))
-    key = ["host", *names]
-    counts = rows.join(given, "page_id", "left").groupBy(*key).agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    raw = [f"raw_{n}" for n in names]
-    counts = stored(counts.select("host", *(F.col(n).alias(r) for n, r in zip(names, raw, strict=True)), *names, "labelled", "good"), "templates")
-    for level in range(depth):
-        counts = stored(_merged(counts, level, ["host", *names[:level]], children), "templates")
+    counts = rows.join(given, "page_id", "left").groupBy("host", "general").agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    counts = _templates(stored(counts, "templates"), depth, children)
     whole = counts.agg(F.sum("good").alias("all_good"), F.sum("labelled").alias("all_labelled")).select(((F.col("all_good") + 1) / (F.col("all_labelled") + 1)).alias("all_share"))
     smooth = lambda good, labelled, prior: (good + STRENGTH * prior) / (labelled + STRENGTH)
     hosts = counts.groupBy("host").agg(F.sum("good").alias("h_good"), F.sum("labelled").alias("h_labelled"))
     # One row, an aggregate: every host gets the share of all pages as its prior.
     prior = whole.first()[0]
     hosts = hosts.select("host", smooth(F.col("h_good"), F.col("h_labelled"), F.lit(float(prior if prior is not None else 1.0))).alias("host_share"))
-    templates = counts.groupBy(*key).agg(F.sum("good").alias("t_good"), F.sum("labelled").alias("t_labelled")).join(hosts, "host")
-    templates = templates.select(*key, smooth(F.col("t_good"), F.col("t_labelled"), F.col("host_share")).alias("share"))
-    template = F.concat_ws("/", F.col("host"), *(F.when(F.col(n) != "", F.col(n)) for n in names))
-    known = counts.select(*key, *raw).join(templates, key).select("host", *(F.col(r).alias(n) for n, r in zip(names, raw, strict=True)), template.alias("template"), "share")
+    templates = counts.groupBy("host", "node").agg(F.sum("good").alias("t_good"), F.sum("labelled").alias("t_labelled")).join(hosts, "host")
+    templates = templates.select("host", "node", smooth(F.col("t_good"), F.col("t_labelled"), F.col("host_share")).alias("share"))
+    known = counts.select("host", "general", "node", "template").join(templates, ["host", "node"]).drop("node")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    out = rows.join(known, key)
+    out = rows.join(known, ["host", "general"])
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("share") < least, "block").otherwise("allow")).alias("verdict"), "template", "share")

@@ -100,6 +100,14 @@ def test_children_of_a_wide_branching_are_judged(spark):
         assert len(rest) == 1 and not rest & {t for p in ("spam", "news", *(p for p, *_ in extra)) for _, t in got[p]}
 
 
+def test_deep_branches_are_judged(spark):
+    deep = "shop/en/items/all/by/name/"
+    got = judged(spark, [(deep + "spam/x", 300, 300, 12), (deep + "news/x", 300, 300, 290), (deep + "misc/x/y/z", 5, 0, 0), ("y/" * 5000, 3, 0, 0)])
+    assert {v for v, _ in got[deep + "spam/x"]} == {"block"} and {v for v, _ in got[deep + "news/x"]} == {"allow"}
+    got = judged(spark, [(deep + "spam/x", 30, 30, 1), (deep + "news/x", 30, 30, 29)], depth=3)
+    assert {t for found in got.values() for _, t in found} == {"h.example/shop/en/**"}
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, good boolean")
     assert u.judge_urls(spark.createDataFrame([], SCHEMA), none, RULES).collect() == []
