@@ -256,6 +256,12 @@ def replay(spark, folder):
     return _replay(spark, folder, ["entity_id"], "item_id = 'purchase'", 4, LADDER)
 
 
+@query("entity_replay", _replay_sql(["entity_id"], "true", 4, LADDER))
+def entity_replay(spark, folder):
+    """The replay over events of all types; ``lifecycle_replay`` has purchases only."""
+    return _replay(spark, folder, ["entity_id"], None, 4, LADDER)
+
+
 @query("item_replay", _replay_sql(["entity_id", "item_id"], "true", 2, ITEM_LADDER))
 def item_replay(spark, folder):
     return _replay(spark, folder, ["entity_id", "item_id"], None, 2, ITEM_LADDER)

@@ -227,6 +227,17 @@ def labels(spark, folder):
     )
 
 
+@query(
+    "display_families",
+    f"""WITH {INDEX_SQL}
+SELECT id, array_to_string(list_sort(list_distinct(list_transform(flavor_families, lambda f: split_part(f, '/', 1)))), '|') AS families FROM facets""",
+)
+def families(spark, folder):
+    """All top-level families; ``display_labels`` has the first only."""
+    tops = F.array_distinct(F.transform("flavor_families", top_of))
+    return index(spark, folder).select("id", F.array_join(F.array_sort(tops), "|").alias("families"))
+
+
 @query(
     "item_labels",
     f"""WITH {ITEMS_SQL}

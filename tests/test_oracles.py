@@ -33,3 +33,10 @@ def test_entry_has_them_all():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_replay_and_families_read_all(spark, con):
+    days = con.sql("SELECT count(DISTINCT (user_id, ts::DATE)) FROM events").fetchall()[0][0]
+    replay = QUERIES["entity_replay"](spark, FOLDER)
+    assert replay.filter("action IN ('created', 'carried', 'returned')").count() == days
+    assert any("|" in r.families for r in QUERIES["display_families"](spark, FOLDER).collect() if r.families)
