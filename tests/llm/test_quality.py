@@ -62,6 +62,13 @@ def test_odd_rows(spark):
     assert empty[900] == empty[901]
 
 
+def test_repeated_rows_of_an_id_are_one(spark):
+    rows, grades = corpus(6, 200)
+    graded = spark.createDataFrame(grades, "doc_id long, grade int")
+    once, often = (q.train(spark.createDataFrame(r, SCHEMA), graded) for r in (rows, rows + rows[:1] * 300))
+    assert np.array_equal(once.weights, often.weights) and np.array_equal(once.thresholds, often.thresholds)
+
+
 def test_no_labels_and_no_documents(spark):
     rows, _ = corpus(4, 20)
     docs = spark.createDataFrame(rows, SCHEMA)
