@@ -27,7 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id. Rows without an id stay."""
+    """Of each group of near-duplicates the document with the smallest id. Rows without an id stay.
+
+    Rows that share an id are one document: repeated rows of a kept id are not reduced, and all reach the next stage.
+    """
     gone = near_duplicates(docs, words=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
