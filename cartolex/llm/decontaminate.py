@@ -9,6 +9,7 @@ bitmap throws most away, and what is left is compared byte for byte with the ite
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,14 +124,19 @@ def windows_of(key: str, items: list[tuple[int, str | None]], window: int) -> Wi
     return _built[key]
 
 
-def parts_of(benchmark: DataFrame, limit: int) -> list[list]:
-    """The items in lists of about ``limit`` bytes: one list, unless the benchmark is larger than a broadcast should be."""
+def parts_of(benchmark: DataFrame, limit: int) -> Iterator[tuple[list, bool]]:
+    """The items in lists of about ``limit`` bytes, and whether more follow; each is collected when it is asked for.
+
+    One list, unless the benchmark is larger than a broadcast should be.
+    """
     size = benchmark.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
     if (size[0] or 0) <= limit:
-        return [benchmark.collect()]
+        yield benchmark.collect(), False
+        return
     n = -(-size[0] // limit)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [benchmark.filter(part == k).collect() for k in range(n)]
+    for k in range(n):
+        yield benchmark.filter(part == k).collect(), k < n - 1
 
 
 LEAKS = "doc_id long, n_words long, n_hit long, items array<long>, cuts array<int>"
@@ -161,11 +167,9 @@ def _find(documents: DataFrame, benchmark: DataFrame, window: int, limit: int, d
         *(F.col(f"`{k}`").alias(c) for k, c in zip(keep, carried, strict=True)),
     )
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("string").alias("text"))
-    parts = parts_of(items, limit)
-    for i, rows in enumerate(parts):
-        last = i == len(parts) - 1
-        docs = _scan(docs, [(r[0], r[1]) for r in rows], window, not last)
-        if not last:
+    for rows, more in parts_of(items, limit):
+        docs = _scan(docs, [(r[0], r[1]) for r in rows], window, more)
+        if more:
             docs = stored(docs, "leaks")
     return docs.select("doc_id", "n_words", "n_hit", "items", "cuts", *carried)
 

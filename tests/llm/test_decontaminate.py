@@ -66,3 +66,12 @@ def test_empty_tables(spark):
     assert d.find_leaks(none, items).collect() == []
     got = d.find_leaks(spark.createDataFrame([(1, "some words here")], "doc_id long, text string"), items.limit(0)).collect()
     assert [(r.n_words, r.n_hit, r["items"]) for r in got] == [(3, 0, [])]
+
+
+def test_parts_are_collected_one_at_a_time(spark):
+    items = [(i, f"item {i} " * 20) for i in range(30)]
+    parts = d.parts_of(spark.createDataFrame(items, "item_id long, text string"), 1000)
+    held, more = next(parts)
+    rest = list(parts)
+    assert more and len(held) < 30 and [m for _, m in rest] == [True] * (len(rest) - 1) + [False]
+    assert sorted(tuple(r) for rows, _ in [(held, more), *rest] for r in rows) == items
