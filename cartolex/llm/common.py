@@ -191,3 +191,26 @@ def unpack(blob: bytes, n: int, kind=np.uint64) -> np.ndarray:
     raw = pa.decompress(blob[1:], decompressed_size=8 * n, codec="zstd", asbytes=True)
     values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).reshape(-1)
     return (np.cumsum(values, dtype=np.uint64) if blob[0] else values).view(kind)
+
+
+# ---- a set of hashes in bounded memory
+
+#: Bits of a hash table that a task holds: 8 MB, whatever the data. A fuller table lets more through, and loses nothing.
+TABLE_BITS = 1 << 26
+_BLOCK = 1 << 15
+
+
+def hash_bits(hashes: DataFrame) -> np.ndarray:
+    """One bit for each value of the only column (long), as bytes. What is in the set has its bit; few others have."""
+    name = hashes.columns[0]
+    place = F.col(name).bitwiseAND(F.lit(TABLE_BITS - 1))
+    blocks = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 15).cast("int").alias("block"))
+    bits = np.zeros(TABLE_BITS // 8, np.uint8)
+    for row in blocks.agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(_BLOCK - 1))).alias("bits")).toLocalIterator():
+        bits[row.block * (_BLOCK // 8) :][: _BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+def in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes.view(np.uint64) & U(TABLE_BITS - 1)
+    return (bits[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8)) & 1 == 1

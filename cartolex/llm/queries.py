@@ -158,3 +158,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     numbers = pages.select("page_id", host_and_path(F.col("url"))[1].alias("path")).select("page_id", shown.alias("doc_id"))
     labels = table(spark, folder, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     return judge_urls(pages, numbers.join(labels, "doc_id").select("page_id", "good"), RULES)
+
+
+@query(
+    "op13_exact_dedup",
+    """
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.exact_dedup import duplicate_groups
+
+    return duplicate_groups(table(spark, folder, "documents"))

@@ -34,7 +34,7 @@ def sha(text):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in q.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in q.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(q.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(q.ORACLES) <= set(entry.oracle_sql())
 
