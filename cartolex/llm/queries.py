@@ -172,3 +172,36 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     from cartolex.llm.exact_dedup import duplicate_groups
 
     return duplicate_groups(table(spark, folder, "documents"))
+
+
+@query(
+    "op12_collocations",
+    r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, doc_id,
+                 string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+    p AS (SELECT lang, regexp_extract_all(unnest(p), '[^\x20\x09]+') AS w FROM d),
+    g AS (
+      SELECT lang, k AS size, array_to_string(w[i : i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+    words AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY 1),
+    f AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+    c AS (SELECT lang, phrase, size, f AS a, w, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+    s AS (
+      SELECT c.lang, c.phrase, c.size, c.w, c.a, k, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+             JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 : c.size], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    o AS (
+      SELECT lang, phrase, max(f) AS most
+      FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM f WHERE size = 3) GROUP BY 1, 2),
+    r AS (
+      SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, n, score
+      FROM b JOIN words USING (lang) LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+      WHERE most IS NULL OR 100 * most < 50 * a)
+    SELECT * FROM r WHERE rank <= 2000
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"), longest=3, least=10, covered=50, top=2000)
