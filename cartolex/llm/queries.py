@@ -205,3 +205,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from cartolex.llm.collocations import collocations
 
     return collocations(table(spark, folder, "documents"), longest=3, least=10, covered=50, top=2000)
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from cartolex.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"), components=32, scale=64)
