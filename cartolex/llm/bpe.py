@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import flat, pieces, ship
+from cartolex.llm.common import flat, lean, pieces, ship
 
 #: Bytes of the longest piece that is merged in lockstep with others, and pieces merged at a time.
 WIDE, ROWS = 32, 20_000
@@ -270,7 +270,7 @@ def encode(documents: DataFrame, path: str, pattern: str, words: str | None = No
 
     frame = documents.select(*(F.col(f"`{c}`") for c in keep)).withColumn(text, F.col(f"`{text}`").cast("string"))
     schema = frame.withColumn(ids, F.lit(None).cast("array<int>")).schema
-    return frame.mapInArrow(task, schema)
+    return frame.mapInArrow(lean(task), schema)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -294,4 +294,4 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*keep, to])
 
     frame = frame.select(*(F.col(f"`{c}`") for c in keep))
-    return frame.mapInArrow(task, frame.withColumn(to, F.lit(None).cast("binary")).schema)
+    return frame.mapInArrow(lean(task), frame.withColumn(to, F.lit(None).cast("binary")).schema)

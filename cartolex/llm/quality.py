@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import U, Spans, column, constants, flat, pieces, ship
+from cartolex.llm.common import U, Spans, column, constants, flat, lean, pieces, ship
 from cartolex.llm.decontaminate import WORD
 from cartolex.llm.near_dedup import LOWER, SPACE
 
@@ -212,8 +212,8 @@ def train(documents: DataFrame, graded: DataFrame, grades: int = 3, sample: int
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(values, pa.float64())], ["place", "value"])
 
     # One task, not the driver, holds the sample, whose size is bounded; the few weights that are not zero come back.
-    sample_rows = rows.mapInArrow(task, "places binary, grade int").repartition(1)
-    found = sample_rows.mapInArrow(fitted, "place long, value double").collect()
+    sample_rows = rows.mapInArrow(lean(task), "places binary, grade int").repartition(1)
+    found = sample_rows.mapInArrow(lean(fitted), "place long, value double").collect()
     if not found:
         return fit([], grades)
     weights, cuts = np.zeros(1 << BITS), {}
@@ -246,7 +246,7 @@ def score(documents: DataFrame, model: Model, least: int, text: str = "text") ->
             tails = held.value.tails(held.value.scores(row, places, len(at) - 1))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(1)), pa.array(tails[:, least - 1])], [*keep, *names])
 
-    return frame.mapInArrow(task, frame.withColumns({c: F.lit(None).cast("double") for c in names}).schema)
+    return frame.mapInArrow(lean(task), frame.withColumns({c: F.lit(None).cast("double") for c in names}).schema)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

@@ -80,6 +80,28 @@ def test_large_groups(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_common_text(spark):
+    """Most of each text is shared by all, in two versions; a few are near copies of each other besides."""
+    rnd = random.Random(8)
+    prose = lambda k: [f"w{rnd.randrange(5000)}" for _ in range(k)]
+    rows = []
+    for common in (prose(120), prose(60)):
+        for _ in range(90):
+            own = prose(rnd.choice([16, 22, 60]))
+            for _ in range(rnd.choice([1, 1, 1, 2, 3])):
+                mine = list(own)
+                mine[rnd.randrange(len(mine))] = f"new{rnd.randrange(10**6)}"
+                rows.append((len(rows), " ".join(common + mine), "x", 0))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_meetings_find_what_bands_join(spark, monkeypatch):
+    """Without the rounds of centres, the shared rare shingles alone find all links."""
+    monkeypatch.setattr(n, "_to_centres", lambda rows: rows.select(n.F.col("doc_id").alias("a"), n.F.col("doc_id").alias("b")).limit(0))
+    rows = corpus(6)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_odd_rows(spark):
     rows = [
         (5, None, None, None), (6, "", "x", 0), (7, " \n\t ", "x", 0), (8, "one", "x", 0), (9, "ONE", "x", 0), (10, "one two", "x", 0), (None, "one", "x", 0), (None, None, "x", 0),
