@@ -13,9 +13,12 @@ from cartolex.operators.corpus import (
     page_links,
     page_text,
     page_usable,
+    parsed_links,
+    parsed_pages,
     policy_join,
     polite_schedule,
 )
+from cartolex.operators.keep import keep_first
 from cartolex.vocab import rules
 
 _WS = "[\\s\\x0B\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -93,6 +96,32 @@ def links(spark, folder):
     return out.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "text", "url")
 
 
+_STRAY = "replace(html, '</article>', ' 1 &lt; 2 &lt;3</article>')"
+
+
+@query(
+    "broken_html",
+    f"SELECT page_id, sha256({_text_sql(_STRAY)}) AS hash FROM pages",
+)
+def broken_html(spark, folder):
+    """The pages without end tags of paragraphs and list items, with a > in attributes and stray < in the text."""
+    html = F.regexp_replace("html", "</(p|li)>", "")
+    html = F.replace(F.replace(html, F.lit("<p>"), F.lit('<P data-x="a > b" title=\'</p>\'>')), F.lit("</article>"), F.lit("<br> 1 < 2 <3</article >"))
+    pages = table(spark, folder, "pages").select("page_id", html.alias("html"))
+    return parsed_pages(pages).select("page_id", "hash")
+
+
+@query(
+    "broken_links",
+    f"WITH {LINKS_SQL} SELECT page_id, href, text, url FROM links QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1",
+)
+def broken_links(spark, folder):
+    """The pages without end tags of links and list items: the next link ends the one before. First link of each address."""
+    html = F.regexp_replace("html", "</(a|li)>", "")
+    pages = table(spark, folder, "pages").select("page_id", "url", html.alias("html"))
+    return keep_first(parsed_links(pages, "page_id"), ["page_id", "href"], ["pos"]).select("page_id", "href", "text", "url")
+
+
 LINK_RULES = [("/the|\\bthe\\b", "coffee"), ("[aeiou]nd|tion", "menu"), (".", "shop")]
 
 

@@ -40,6 +40,13 @@ def _fold_table() -> tuple[str, str, list[str], list[str]]:
     return "".join(source), "".join(target), long_source, long_target
 
 
+def _runs(points: list[int]) -> list[tuple[int, int]]:
+    """First and last of each run of consecutive numbers; ``points`` are rising."""
+    firsts = [p for i, p in enumerate(points) if not i or points[i - 1] + 1 < p]
+    lasts = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] > p + 1]
+    return list(zip(firsts, lasts, strict=True))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with ``value`` computed once however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -61,7 +68,8 @@ def fold_accents(c: Column) -> Column:
         forms = F.map_from_arrays(F.lit(long_source), F.lit(long_target))
         return F.aggregate(found, x, lambda out, ch: F.replace(out, ch, F.element_at(forms, ch)))
 
-    several = "[" + "".join(long_source) + "]"
+    # As ranges: a class of single characters is tried one by one.
+    several = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _runs([ord(ch) for ch in long_source])) + "]"
     plain = F.octet_length(c) == F.length(c)
     return F.when(plain, c).otherwise(let(folded, lambda x: F.when(x.rlike(several), expanded(x)).otherwise(x)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolex.functions.html import anchors, resolve_links, visible_text
+from cartolex.functions.markup import parsed
 from cartolex.functions.text import first_match, host_of, path_of, short_hash
 from cartolex.operators.keep import keep_first
 from cartolex.operators.running import with_running
@@ -33,6 +34,26 @@ def page_links(pages: DataFrame, id: str, url: str = "url", html: str = "html")
     return links.filter(same_site).select(id, "page_url", "pos", "a.href", "a.text", "a.url")
 
 
+def parsed_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Add ``text``, its ``hash`` and ``links`` (href, text) as an HTML parser reads the page: right on broken markup too.
+
+    One pass over each page in Python, in Arrow batches; ``page_text`` and ``page_links`` stay in the JVM and read
+    well-formed markup alike.
+    """
+    read = pages.withColumn("_read", parsed(F.col(html)))
+    out = read.withColumns({"text": F.col("_read.text"), "links": F.col("_read.links")}).drop("_read")
+    return out.withColumn("hash", F.sha2("text", 256))
+
+
+def parsed_links(pages: DataFrame, id: str, url: str = "url", html: str = "html") -> DataFrame:
+    """As ``page_links``, of pages with any markup."""
+    read = pages.select(id, F.col(url).alias("page_url"), parsed(F.col(html))["links"].alias("links"))
+    found = resolve_links(F.col("page_url"), F.col("links"))
+    links = read.select(id, "page_url", F.posexplode(found).alias("pos", "a"))
+    same_site = host_of(F.col("a.url")) == host_of(F.col("page_url"))
+    return links.filter(same_site).select(id, "page_url", "pos", "a.href", "a.text", "a.url")
+
+
 def link_kind(path: Column, text: Column, link_rules: Sequence[tuple[str, str]] = tuple(rules.LINK_RULES)) -> Column:
     """Kind of a link from its path and text; NULL when nothing suggests products or a menu."""
     hay = F.lower(F.concat_ws(" ", path, text))
