@@ -226,7 +226,7 @@ def hash_bits(hashes: DataFrame) -> np.ndarray:
     place = F.col(name).bitwiseAND(F.lit(TABLE_BITS - 1))
     blocks = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 15).cast("int").alias("block"))
     bits = np.zeros(TABLE_BITS // 8, np.uint8)
-    for row in blocks.agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(_BLOCK - 1))).alias("bits")).toLocalIterator():
+    for row in blocks.agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(_BLOCK - 1))).alias("bits")).collect():
         bits[row.block * (_BLOCK // 8) :][: _BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
     return bits
 

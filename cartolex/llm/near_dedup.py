@@ -345,8 +345,8 @@ def _meetings(full: DataFrame, left: DataFrame, joined: DataFrame, words: int, p
     docs = stored(named.join(open_units, "unit", "left_semi").select("doc_id", "unit", "registers", "text"), "open-documents")
     tallies = docs.select("text").mapInArrow(lean(_tally(words)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(BUCKETS, np.int64)
-    for row in tallies.toLocalIterator():
-        counts[row.bucket] = row.n
+    tallied = tallies.toArrow()
+    counts[tallied["bucket"].to_numpy()] = tallied["n"].to_numpy()
     order = spark.sparkContext.broadcast(counts)
     first = docs.select("doc_id", "unit", "text").mapInArrow(lean(_first(words, percent, order, None)), FIRST)
     shared = first.groupBy("token").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low != high")
