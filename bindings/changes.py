@@ -310,6 +310,23 @@ def upserts(spark, folder):
     return upsert(target, changes.unionByName(added))
 
 
+@query(
+    "upsert_clear",
+    """
+SELECT c_custkey AS id, CASE WHEN c_nationkey < 10 THEN 'patched' ELSE c_name END AS name, CASE WHEN c_nationkey < 10 AND c_nationkey % 2 = 0 THEN NULL ELSE c_mktsegment END AS segment
+FROM customer""",
+)
+def upsert_clear(spark, folder):
+    """Patches that empty a field, beside those that leave it."""
+    c = table(spark, folder, "customer")
+    target = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    emptied = F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("segment")))
+    changes = c.filter("c_nationkey < 10").select(
+        F.col("c_custkey").alias("id"), F.lit("patch").alias("op"), F.lit("patched").alias("name"), F.lit(None).cast("string").alias("segment"), emptied.alias("clear")
+    )
+    return upsert(target, changes, clear="clear")
+
+
 @query(
     "outcomes",
     """

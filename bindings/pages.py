@@ -174,6 +174,32 @@ def policy(spark, folder):
     return policy_join(pages, "page_id", "url", policy, status).select("page_id", "allowed")
 
 
+WILD_RULES = [
+    ("/*/1", False, "^/.*/1"), ("/*1$", False, "^/.*1$"), ("/en/*5*7", True, "^/en/.*5.*7"), ("/*/", False, "^/.*/"), ("/de/2*$", True, "^/de/2.*$"),
+    ("/fr/10$", False, "^/fr/10$"), ("/fr*0", True, "^/fr.*0"), ("*3$", True, "^.*3$"), ("/es/**9", True, "^/es/.*9"), ("/en/4$4", False, "^/en/4[$]4"),
+]
+
+
+@query(
+    "wildcard_policy",
+    f"""
+WITH p AS (
+  SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') AS host,
+         regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS path FROM pages),
+policy AS (SELECT * FROM (VALUES {", ".join(f"({quote(r)}, {int(a)}, {quote(p)})" for r, a, p in WILD_RULES)}) AS v(rule, allow, pattern)),
+hits AS (
+  SELECT page_id, max(strlen(rule) * 10 + allow) % 10 AS allow FROM p JOIN policy ON regexp_matches(path, pattern)
+  WHERE rule <> '/*/' OR host LIKE 'blog.%' GROUP BY 1)
+SELECT page_id, coalesce(allow, 1) = 1 AS allowed FROM p LEFT JOIN hits USING (page_id)""",
+)
+def wildcard_policy(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
+    rows = [F.struct(F.lit(r).alias("prefix"), F.lit(a).alias("allow")) for r, a, _ in WILD_RULES]
+    policy = hosts.select("host", F.inline(F.array(*rows))).filter((F.col("prefix") != "/*/") | F.col("host").startswith("blog."))
+    return policy_join(pages, "page_id", "url", policy).select("page_id", "allowed")
+
+
 @query(
     "polite_schedule",
     """

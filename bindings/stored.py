@@ -18,6 +18,7 @@ from cartolex.operators.keep import limit_first
 from cartolex.session import ensure_checkpoint_dir
 from cartolex.sources.dims import ADD_SCHEMA, PATCH_SCHEMA, override_problems
 from cartolex.sources.export import write_json
+from cartolex.sources.published import find, manifest, publish, read_published
 from cartolex.sources.snapshots import load_index, lookup_entity, write_index
 
 
@@ -54,6 +55,39 @@ def stored_lookup(spark, folder):
     return lookup_entity(spark.read.parquet(path), "id", "7").select("id", "name")
 
 
+@query(
+    "published_index",
+    f"""WITH {_REGIONS_SQL}
+SELECT id, name, region_id, CAST(CASE WHEN region_id IN ('1', '2') THEN 2 ELSE 1 END AS INTEGER) AS version FROM r
+WHERE region_id IN ('0', '3', '4') OR (region_id = '1' AND balance > 0)""",
+)
+def published_index(spark, folder):
+    """All regions in one version, then regions 1 and 2 in the next: one with fewer rows, the other with none."""
+    path, rows = _folder(spark, "published"), _regions(spark, folder)
+    publish(rows.withColumn("version", F.lit(1)), path)
+    publish(rows.filter("region_id = '1' AND balance > 0").withColumn("version", F.lit(2)), path, regions=["1", "2"])
+    return read_published(spark, path).select("id", "name", "region_id", "version")
+
+
+@query(
+    "published_counts",
+    f"WITH {_REGIONS_SQL} SELECT region_id, count(*) AS rows FROM r WHERE balance > 0 GROUP BY 1",
+)
+def published_counts(spark, folder):
+    """Rows of each region as the manifest has them."""
+    path = _folder(spark, "published")
+    publish(_regions(spark, folder).filter("balance > 0"), path)
+    held = manifest(spark, path)["regions"]
+    return spark.createDataFrame([(r, v["rows"]) for r, v in held.items()], "region_id string, rows long")
+
+
+@query("published_lookup", f"WITH {_REGIONS_SQL} SELECT id, name, region_id FROM r WHERE id = '42'")
+def published_lookup(spark, folder):
+    path = _folder(spark, "published")
+    publish(_regions(spark, folder), path)
+    return find(spark, path, "42").select("id", "name", "region_id")
+
+
 @query("json_files", f"WITH {_REGIONS_SQL} SELECT region_id, count(*) AS rows, min(name) AS first, max(balance) AS most FROM r GROUP BY 1")
 def json_files(spark, folder):
     path, rows = _folder(spark, "json"), _regions(spark, folder)

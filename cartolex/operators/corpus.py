@@ -120,27 +120,51 @@ def detect_platform(
     return pages.withColumn("platform", F.coalesce(F.col(pinned), found) if pinned else found)
 
 
+def _rule_matches(path: Column, tails: Column, anchored: Column, at: Column) -> Column:
+    """Whether the literals between a rule's wildcards follow in ``path`` from ``at`` on, one after another.
+
+    Each is found as early as it can be; the last one of an anchored rule must end the path.
+    """
+    last = F.get(tails, F.size(tails) - 1)
+    free = F.when(anchored, F.slice(tails, F.lit(1), F.greatest(F.size(tails) - 1, F.lit(0)))).otherwise(tails)
+
+    def found(place: Column, part: Column) -> Column:
+        here = F.call_function("locate", part, path, place)
+        return F.when((place > 0) & (here > 0), here + F.length(part)).otherwise(0)
+
+    end = F.when(F.size(free) == 0, at).otherwise(F.aggregate(free, at, found))
+    rest = F.when(F.size(tails) == 0, F.length(path) + 1 == at).otherwise(path.endswith(last) & (F.length(path) - F.length(last) + 1 >= end))
+    return (end > 0) & (~anchored | rest)
+
+
 def policy_join(urls: DataFrame, id: str, url: str, policy: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """Add ``allowed``: the longest rule that prefixes the path decides; no rule allows.
+    """Add ``allowed``: the longest rule that matches the path decides; no rule allows.
 
-    ``policy`` has (host, prefix, allow). A URL is exploded into those prefixes of
-    its own path that have the length of a rule of its host, so the match is an
-    equality join. On equal length "allow" wins. ``status`` has
+    ``policy`` has (host, prefix, allow). A rule matches the begin of the path (with its query); ``*`` in it stands for any
+    characters, ``$`` at its end for the end of the path. A URL is exploded into those prefixes of its own path that have the
+    length of the literal head of a rule of its host, so the match is an equality join; what follows the head is looked at in
+    the rows that are left. Rules are as long as their octets; on equal length "allow" wins. ``status`` has
     (host, code): client errors allow all, server errors (or 0, unreachable)
     deny all.
     """
     target = urls.select(F.col(id), host_of(F.col(url)).alias("_host"), F.regexp_extract(F.col(url), r"^[^:]+://[^/?#]*([^#]*)", 1).alias("_path"))
     target = target.withColumn("_path", F.when(F.col("_path").startswith("/"), F.col("_path")).otherwise(F.concat(F.lit("/"), F.col("_path"))))
-    wanted = policy.groupBy(host_of(F.concat(F.lit("http://"), F.col("host"))).alias("_host"), F.col("prefix").alias("_prefix")).agg(
-        F.max(F.col("allow").cast("int")).alias("_allow")
+    anchored = F.col("prefix").endswith("$")
+    parts = F.split(F.when(anchored, F.expr("left(prefix, length(prefix) - 1)")).otherwise(F.col("prefix")), "[*]")
+    rules_of = policy.select(host_of(F.concat(F.lit("http://"), F.col("host"))).alias("_host"), "prefix", F.col("allow").cast("int").alias("_allow"))
+    wanted = rules_of.groupBy("_host", "prefix").agg(F.max("_allow").alias("_allow")).select(
+        "_host", parts[0].alias("_prefix"), F.slice(parts, F.lit(2), F.size(parts)).alias("_tails"), anchored.alias("_anchored"), F.octet_length("prefix").alias("_long"), "_allow"
     )
     # Only the lengths that occur among the host's rules: a few short prefixes of a path, not all of them.
     sizes = wanted.groupBy("_host").agg(F.collect_set(F.length("_prefix")).alias("_sizes"))
     own = F.filter("_sizes", lambda n: n <= F.length("_path"))
     prefixes = target.join(sizes, "_host").select(id, "_host", "_path", F.explode(own).alias("_n")).select(
-        id, "_host", "_n", F.substring("_path", F.lit(1), F.col("_n")).alias("_prefix")
+        id, "_host", "_path", F.substring("_path", F.lit(1), F.col("_n")).alias("_prefix")
     )
-    verdict = prefixes.join(wanted, ["_host", "_prefix"]).groupBy(id).agg(F.max(F.struct("_n", "_allow"))["_allow"].alias("_allow"))
+    met = prefixes.join(wanted, ["_host", "_prefix"])
+    # Not a filter: that would become part of the join, which cannot hold a fold over an array.
+    fits = _rule_matches(F.col("_path"), F.col("_tails"), F.col("_anchored"), F.length("_prefix") + 1)
+    verdict = met.groupBy(id).agg(F.max(F.when(fits, F.struct("_long", "_allow")))["_allow"].alias("_allow"))
     out = urls.join(verdict, id, "left")
     allowed = F.coalesce(F.col("_allow") == 1, F.lit(True))
     if status is not None:
