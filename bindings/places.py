@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bindings import query, table
@@ -20,15 +22,14 @@ from cartolex.operators.discover import (
     project_candidate,
 )
 from cartolex.operators.grid import bounds_of, geohash_cells, grid_clusters, nearest_region, regions_by_state
-from cartolex.sources.places import coerce_places, inspect_categories, scan_bbox
+from cartolex.session import ensure_checkpoint_dir
+from cartolex.sources.places import coerce_places, inspect_categories, read_places, scan_bbox, write_places
 from cartolex.vocab.regions import REGIONS
 
 W, S, E, N = BOX
 
 
-@query(
-    "bbox_scan",
-    f"""
+_BOX_SQL = f"""
 SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS category,
        round({lng_sql('c_custkey')}, 6) AS lng, round({lat_sql('c_custkey')}, 6) AS lat,
        n_name AS locality, array_to_string(CASE WHEN c_acctbal < 0 THEN [] ELSE [n_name] END, '|') AS alternates
@@ -36,15 +37,16 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey
 WHERE {lng_sql('c_custkey')} - 0.0001 >= {W} AND {lng_sql('c_custkey')} + 0.0001 <= {E}
   AND {lat_sql('c_custkey')} - 0.0001 >= {S} AND {lat_sql('c_custkey')} + 0.0001 <= {N}
   AND (c_mktsegment IN ('BUILDING', 'MACHINERY') OR (c_acctbal >= 0 AND n_name IN ('NATION_3', 'NATION_7')))
-""",
-)
-def bbox_scan(spark, folder):
+"""
+
+
+def _nested(spark, folder):
     c = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.col("n_nationkey") == F.col("c_nationkey")
     )
     x, y = lng(F.col("c_custkey")), lat(F.col("c_custkey"))
     none = F.lit(None).cast("array<string>")
-    nested = c.select(
+    return c.select(
         F.col("c_custkey").alias("id"),
         F.struct(F.col("c_name").alias("primary")).alias("names"),
         F.struct(
@@ -69,6 +71,9 @@ def bbox_scan(spark, folder):
             (x - 0.0001).alias("xmin"), (x + 0.0001).alias("xmax"), (y - 0.0001).alias("ymin"), (y + 0.0001).alias("ymax")
         ).alias("bbox"),
     )
+
+
+def _flat(nested):
     flat = coerce_places(scan_bbox(nested, BOX, ["BUILDING", "MACHINERY"], ["NATION_3", "NATION_7"]))
     return flat.select(
         "id",
@@ -81,6 +86,20 @@ def bbox_scan(spark, folder):
     )
 
 
+@query("bbox_scan", _BOX_SQL)
+def bbox_scan(spark, folder):
+    return _flat(_nested(spark, folder))
+
+
+@query("stored_box", _BOX_SQL)
+def stored_box(spark, folder):
+    """The same scan over stored nested Parquet, laid out along a Z-curve."""
+    path = f"{ensure_checkpoint_dir(spark)}/places-{{release}}-{uuid.uuid4().hex}"
+    write_places(_nested(spark, folder), path.replace("{release}", "r1"))
+    return _flat(read_places(spark, path, "r1"))
+
+
+
 @query(
     "category_inspect",
     """

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolex.functions.text import trim_all
+from cartolex.functions.geo import geohash
 
 Box = tuple[float, float, float, float]
 
@@ -28,6 +28,24 @@ def inside_box(box: Box, bounds: str = "bbox") -> Column:
     )
 
 
+#: Letters of the cell that orders places, bytes of a row group and rows of a file.
+CELL_LETTERS, GROUP_BYTES, ROWS_PER_FILE = 10, 8 << 20, 1_000_000
+
+
+def write_places(places: DataFrame, path: str, bounds: str = "bbox", rows_per_file: int = ROWS_PER_FILE, group_bytes: int = GROUP_BYTES) -> None:
+    """Store nested places along a Z-curve of their centres, so that a row group covers a small patch of the map.
+
+    The statistics of a row group then say whether a box can meet it, and a scan of a box reads the groups near it alone.
+    Files are ranges of the curve; places at one spot may share several. Places without bounds lie together at the start.
+    """
+    centre = [(F.col(f"{bounds}.{low}") + F.col(f"{bounds}.{high}")).cast("double") / 2 for low, high in (("ymin", "ymax"), ("xmin", "xmax"))]
+    cell = F.coalesce(geohash(*centre, CELL_LETTERS), F.lit(""))
+    ordered = places.withColumn("_cell", cell).withColumn("_mix", F.xxhash64(F.to_json(F.col(bounds)), F.monotonically_increasing_id()))
+    ordered = ordered.repartitionByRange("_cell", "_mix").sortWithinPartitions("_cell").drop("_cell", "_mix")
+    out = ordered.write.option("maxRecordsPerFile", rows_per_file).option("parquet.block.size", group_bytes).option("compression", "zstd")
+    out.mode("errorifexists").parquet(path)
+
+
 def _strings(c: Column) -> Column:
     return F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull())
 
@@ -85,8 +103,7 @@ def inspect_categories(
     ``box`` (west, south, east, north) keeps rows of nested place data whose box lies inside.
     """
     if box is not None:
-        west, south, east, north = box
-        df = df.filter((F.col("bbox.xmin") >= west) & (F.col("bbox.xmax") <= east) & (F.col("bbox.ymin") >= south) & (F.col("bbox.ymax") <= north))
+        df = df.filter(inside_box(box))
     relevant = F.lower(name).rlike(name_pattern)
     for pattern in category_likes:
         relevant = relevant | category.ilike(pattern)
@@ -97,7 +114,3 @@ def inspect_categories(
         .orderBy(F.desc("n"), "category")
     )
     return counts if k is None else counts.limit(k)
-
-
-def trimmed_name(name: Column) -> Column:
-    return F.nullif(trim_all(F.coalesce(name, F.lit(""))), F.lit(""))
