@@ -4,12 +4,12 @@ A document is the set of its distinct word shingles. Its signature has ``REGISTE
 hash that falls into it, the number of leading zeros and the next ten bits: two bytes. Bands of ``BAND`` registers, empty
 ones filled from others by a fixed order of search, are the keys under which documents meet.
 
-Equal sets become one class first, so copies cost one row. Each document offers itself to one band, and is paired with a
-centre there, not with the other members; what is then joined offers itself as one, to another band. A pair passes by sizes,
-by the Jaccard estimate corrected for registers that agree by chance (with a margin of six standard deviations), then by the
-full sets. Units that still meet in a band without being joined are settled by the rare shingles they share, one of which two
-linked sets must have among their first; text that many share brings nobody together there. So no link between documents that
-share a band is lost, and pairs are listed only where registers say that they may be linked.
+Equal sets become one class first, so copies cost one row. A document is paired with the centre of one large band, not with
+all members of all its bands.
+A pair passes by sizes, by the Jaccard estimate corrected for registers that agree by chance (with a margin of six standard
+deviations), then by the full sets. Bands whose members are then not all known to belong together are settled in memory, in
+slices of bounded size: what lies outside a band's largest component is compared with that and with each other. So no link
+between documents that share a band is lost, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolex.llm.common import U, Spans, column, constants, flat, hash_bits, in_bits, lean, longs, mix, pieces, ship, stored
+from cartolex.llm.common import U, Spans, column, constants, flat, lean, longs, mix, pieces, ship, stored
 
 REGISTERS, BAND = 384, 6
 BANDS = REGISTERS // BAND
@@ -28,12 +28,10 @@ EMPTY = np.uint16(0xFFFF)
 CHUNK = 1 << 20
 #: Standard deviations below the threshold at which an estimate still goes on to the full sets.
 MARGIN = 6.0
-#: Texts compared with one centre in one task.
+#: Bands of so many members are compared at once, pair by pair.
+SMALL = 8
+#: Texts compared with one centre, or held in memory to be compared with others, in one task.
 SLICE = 500
-#: Signatures held in memory to be compared with others, and pairs of them compared at a time.
-MET, PAIRS = 4096, 4096
-#: Buckets in which shingles are counted for their order.
-BUCKETS = 1 << 18
 _CODES = constants(23, 256)
 _C = constants(29, 8)
 _PROBES = (mix(np.arange(96 * REGISTERS, dtype=U) + U(77)) % U(REGISTERS)).astype(np.int64).reshape(96, REGISTERS)
@@ -169,7 +167,6 @@ def _names(schema: str) -> list[str]:
 
 SKETCH = "doc_id long, n_shingles long, low long, high long, bands array<long>"
 FULL = "doc_id long, n_shingles long, registers binary, text string"
-FIRST = "token long, doc_id long, unit long, size long"
 
 
 def _sketch(words: int):
@@ -294,162 +291,103 @@ def find_components(docs: DataFrame, members: DataFrame, words: int, percent: in
         dealt = texts.repartition(parts, "a", "slice").sortWithinPartitions("a", "slice", "other").select("a", "b", "text")
         return stored(dealt.mapInArrow(lean(_verified(words, percent)), "a long, b long"), "links")
 
-    def units(joined: DataFrame) -> DataFrame:
-        """What is joined in a band counts once there: band, unit and its least id, of bands of two units and more."""
-        named = members.join(joined, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("unit"))
-        # A large unit shrinks where it lies, before it is dealt by band.
-        rows = named.groupBy("band", "unit").agg(F.min("doc_id").alias("doc_id"))
-        several = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-        return stored(rows.join(several, "band"), "open-bands")
-
-    # Each document offers itself to one band, its largest, and is compared with the least id there.
-    own = members.groupBy("doc_id").agg(F.max(F.struct("size", "band"))["band"].alias("band"))
-    found = links(_to_centres(own))
+    # First all pairs of small bands, and of each document with the least id in one large band, the largest it is in.
+    small = members.filter(F.col("size") <= SMALL)
+    pairs = small.alias("x").join(small.alias("y"), "band").filter("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    large = members.filter(F.col("size") > SMALL).groupBy("doc_id").agg(F.max(F.struct("size", "band"))["band"].alias("band"), F.collect_list("band").alias("bands"))
+    large = stored(large, "large-bands")
+    centres = large.groupBy("band").agg(F.min("doc_id").alias("centre"))
+    offered = large.select("band", "doc_id").join(centres, "band").filter("doc_id != centre")
+    found = links(pairs.unionByName(offered.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))))
     joined = components(found)
-    left = units(joined)
-    if left.isEmpty():
+    # Bands that hold several components. What is in a band's largest component is not needed row by row.
+    docs = stored(large.join(joined, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "bands"), "large-documents")
+    named = docs.select(F.explode("bands").alias("band"), "doc_id", "component")
+    inside = named.groupBy("band", "component").agg(F.count("*").alias("size"))
+    several = inside.groupBy("band").agg(F.count("*").alias("components"), F.max(F.struct("size", "component"))["component"].alias("largest")).filter("components > 1")
+    rest = stored(named.join(several.select("band", "largest"), "band").filter("component != largest"), "open-rest")
+    if rest.isEmpty():
         return joined
-    # What is joined by now offers itself as one, to the smallest band where it meets others.
-    least = left.groupBy("unit").agg(F.min(F.struct("size", "band", "doc_id")).alias("least"))
-    found = found.unionByName(links(_to_centres(least.select("least.band", "least.doc_id"))))
-    joined = components(found)
-    left = units(joined)
-    for best in (True, False):
-        if left.isEmpty():
-            break
-        found = found.unionByName(links(_meetings(full, left, joined, words, percent, best)))
-        joined = components(found)
-        left = left.select("band", F.col("unit").alias("doc_id")).join(joined, "doc_id", "left").select("band", F.coalesce("component", "doc_id").alias("unit")).distinct()
-        left = stored(left.join(left.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band"), "open-bands")
-    return joined
-
-
-def _to_centres(rows: DataFrame) -> DataFrame:
-    """Pairs of the least id of each band with the others (band, doc_id)."""
-    centres = rows.groupBy("band").agg(F.min("doc_id").alias("centre"))
-    return rows.join(centres, "band").filter("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+    return components(found.unionByName(_settle(full, docs.select("doc_id", "component"), rest, words, percent)))
 
 
-def _meetings(full: DataFrame, left: DataFrame, joined: DataFrame, words: int, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) that may be linked, of documents whose units meet in a band but are not joined (``left``: band, unit).
+def _settle(full: DataFrame, docs: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the components that meet in open bands: enough of them to join what belongs together.
 
-    Sets with ``percent`` of their union in common share one of the first n - ceil(percent * n / 100) + 1 of their n elements,
-    in any order that is the same for all. Rare elements come first in it (counted in buckets; the order decides on the work
-    alone), so text that many documents share brings nobody together. Only elements that two units have are sent on, and
-    documents that share one are compared by their registers where they meet. ``best``: of each other unit only the likeliest.
+    ``docs`` names the component of each document, ``rest`` (band, doc_id, component, largest) has those that are not in the
+    largest one of a band. In each band every other component is held against the largest, and the others against each other.
+    The first is done once for each pair of components: the larger one's documents in slices, the other's beside every slice.
+    The second is done band by band, again in slices. Slices are compared in memory; only links that join something come out.
     """
-    spark = full.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    open_units = left.select("unit").distinct()
-    named = full.join(joined, "doc_id", "left").withColumn("unit", F.coalesce("component", "doc_id"))
-    docs = stored(named.join(open_units, "unit", "left_semi").select("doc_id", "unit", "registers", "text"), "open-documents")
-    tallies = docs.select("text").mapInArrow(lean(_tally(words)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros(BUCKETS, np.int64)
-    tallied = tallies.toArrow()
-    counts[tallied["bucket"].to_numpy()] = tallied["n"].to_numpy()
-    order = spark.sparkContext.broadcast(counts)
-    first = docs.select("doc_id", "unit", "text").mapInArrow(lean(_first(words, percent, order, None)), FIRST)
-    shared = first.groupBy("token").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low != high")
-    wanted = spark.sparkContext.broadcast(hash_bits(shared.select("token")))
-    rows = stored(docs.select("doc_id", "unit", "text").mapInArrow(lean(_first(words, percent, order, wanted)), FIRST), "open-elements")
-    # A large group goes in slices, each of which meets the whole group.
-    slices = rows.groupBy("token").agg(F.ceil(F.count("*") / MET).cast("int").alias("slices"), F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low != high").select("token", "slices")
-    rows = rows.join(slices, "token")
-    one = rows.select("token", F.pmod(F.xxhash64("doc_id"), "slices").cast("int").alias("slice"), F.lit(0).alias("side"), "doc_id", "unit", "size")
-    two = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("side"), "doc_id", "unit", "size")
-    dealt = one.unionByName(two).join(docs.select("doc_id", "registers"), "doc_id").repartition(parts, "token", "slice").sortWithinPartitions("token", "slice", "side")
-    return dealt.select("token", "slice", "side", "doc_id", "unit", "size", "registers").mapInArrow(lean(_met(percent, best)), "a long, b long")
-
-
-def _tally(words: int):
-    """How many shingles of the texts fall into each bucket."""
-
-    def task(batches):
-        shared: dict = {}
-        counts = np.zeros(BUCKETS, np.int64)
-        for part in pieces(batches, "text", CHUNK):
-            counts += np.bincount((shingles(*flat(part.column(0)), words, shared)[1] % U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["bucket", "n"])
-
-    return task
-
-
-def _first(words: int, percent: int, order, wanted):
-    """The first shingles of each text, by falling rarity, of those that are in ``wanted``."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sliced(kind: int, one: DataFrame, two: DataFrame) -> DataFrame:
+        """Rows of the first side by slice of its group, those of the second in every slice."""
+        slices = one.groupBy("group").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+        first = one.join(slices, "group").select("group", F.pmod(F.xxhash64("doc_id"), "slices").cast("int").alias("slice"), F.lit(0).alias("side"), "doc_id", "component")
+        second = two.join(slices, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("side"), "doc_id", "component")
+        return first.unionByName(second).withColumn("kind", F.lit(kind))
+
+    tests = rest.select(F.col("largest").alias("group"), "component").distinct()
+    one = docs.join(tests.select(F.col("group").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("group"), "doc_id", "component")
+    two = tests.join(docs, "component").select("group", "doc_id", "component")
+    several = rest.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
+    among = rest.join(several.select("band"), "band", "left_semi").select(F.col("band").alias("group"), "doc_id", "component")
+    rows = sliced(0, one, two).unionByName(sliced(1, among, among))
+    key = ["kind", "group", "slice"]
+    rows = rows.join(full.select("doc_id", "text"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "side")
+    return stored(rows.select(*key, "side", "doc_id", "component", "text").mapInArrow(lean(_settled(words, percent)), "a long, b long"), "links")
+
+
+def _settled(words: int, percent: int):
+    """Rows in order of slice, first sides before second, to the links that join different components in a slice."""
+
+    def compare(own: list, others: list, roots: dict):
+        """Links of ``others`` with ``own``; each side has ids, components, sets and registers."""
+
+        def root(x):
+            while roots.setdefault(x, x) != x:
+                x = roots[x]
+            return x
+
+        sizes = np.array([len(x[2]) for x in own], np.float64)
+        registers = np.array([x[3] for x in own])
+        for doc, component, mine, register in others:
+            n = float(len(mine))
+            near = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+            rows = np.flatnonzero(near)
+            if not len(rows) or not n:
+                continue
+            guess, slack = likely(registers[rows], register[None, :], sizes[rows], np.full(len(rows), n), percent / 100)
+            rows, guess = rows[guess >= percent / 100 - slack], guess[guess >= percent / 100 - slack]
+            for i in rows[np.argsort(-guess, kind="stable")].tolist():
+                other, theirs, held, _ = own[i]
+                x, y = root(component), root(theirs)
+                if x != y and linked(held, mine, percent):
+                    roots[max(x, y)] = min(x, y)
+                    yield other, doc
 
     def task(batches):
         shared: dict = {}
+        key, own, others, roots = None, [], [], {}
         for part in pieces(batches, "text", CHUNK):
-            data, at = flat(part.column(2))
+            data, at = flat(part.column(6))
             rows, hashes = shingles(data, at, words, shared)
-            sizes = np.bincount(rows, minlength=len(at) - 1)
-            ranked = np.lexsort((hashes, order.value[(hashes % U(BUCKETS)).astype(np.int64)], rows))
-            place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            chosen = place <= (sizes + (-percent * sizes) // 100)[rows]
-            rows, hashes = rows[chosen], hashes[ranked][chosen]
-            if wanted is not None:
-                held = in_bits(wanted.value, hashes.view(np.int64))
-                rows, hashes = rows[held], hashes[held]
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(sizes[rows].astype(np.int64))], _names(FIRST))
-
-    return task
-
-
-def _met(percent: int, best: bool):
-    """Rows in order of group, first sides before second, to the pairs across units that may be linked."""
-
-    def compare(own, others):
-        """Pairs of ``own`` with ``others``, each ids, units, sizes and registers; the smaller id first."""
-        ids, kin, sizes, registers = own
-        their_ids, their_kin, their_sizes, theirs = others
-        apart = (their_ids[:, None] > ids) & (their_kin[:, None] != kin)
-        apart &= 100 * np.minimum(their_sizes[:, None], sizes) >= percent * np.maximum(their_sizes[:, None], sizes)
-        found = []
-        x, y = np.nonzero(apart)
-        for a in range(0, len(x), PAIRS):
-            i, j = x[a : a + PAIRS], y[a : a + PAIRS]
-            guess, slack = likely(registers[j], theirs[i], sizes[j].astype(np.float64), their_sizes[i].astype(np.float64), percent / 100)
-            near = guess >= percent / 100 - slack
-            found.append((j[near], i[near], guess[near]))
-        if not found:
-            return [], []
-        j, i, guess = (np.concatenate(c) for c in zip(*found, strict=True))
-        if best:
-            ranked = np.lexsort((-guess, kin[j], i))
-            j, i = j[ranked], i[ranked]
-            new = np.ones(len(i), bool)
-            new[1:] = (i[1:] != i[:-1]) | (kin[j[1:]] != kin[j[:-1]])
-            j, i = j[new], i[new]
-        return ids[j], their_ids[i]
-
-    def task(batches):
-        key, own, sides = None, [], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [longs(batch.column(i)) for i in (0, 1, 2, 3, 4, 5)]
-            registers = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            change = np.ones(batch.num_rows, bool)
-            change[1:] = False
-            for c in columns[:3]:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
-            pairs = []
-            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
-                part = (*(c[a:b] for c in columns[3:]), registers[a:b])
-                if (columns[0][a], columns[1][a]) != key:
-                    key, own, sides = (columns[0][a], columns[1][a]), [], None
-                if columns[2][a] == 0:
-                    own.append(tuple(x.copy() for x in part))
-                    continue
-                if sides is None:
-                    sides = tuple(np.concatenate(x) for x in zip(*own, strict=True)) if own else ()
-                if sides:
-                    pairs.append(compare(sides, part))
-            one, two = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64))], ["a", "b"])
+            registers = signatures(rows, hashes, len(at) - 1)
+            cut = np.searchsorted(rows, np.arange(len(at)))
+            links = []
+            columns = [part.column(i).to_pylist() for i in range(6)]
+            for i, (kind, group, piece, side, doc, component) in enumerate(zip(*columns, strict=True)):
+                if (kind, group, piece) != key:
+                    links += compare(own, others, roots)
+                    key, own, others, roots = (kind, group, piece), [], [], {}
+                (others if side else own).append((doc, component, hashes[cut[i] : cut[i + 1]].copy(), registers[i].copy()))
+                if len(others) >= 256:
+                    links += compare(own, others, roots)
+                    others = []
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+        links = list(compare(own, others, roots))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     return task
 

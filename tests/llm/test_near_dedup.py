@@ -95,13 +95,6 @@ def test_common_text(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_meetings_find_what_bands_join(spark, monkeypatch):
-    """Without the rounds of centres, the shared rare shingles alone find all links."""
-    monkeypatch.setattr(n, "_to_centres", lambda rows: rows.select(n.F.col("doc_id").alias("a"), n.F.col("doc_id").alias("b")).limit(0))
-    rows = corpus(6)
-    assert run(spark, rows) == brute(rows)
-
-
 def test_odd_rows(spark):
     rows = [
         (5, None, None, None), (6, "", "x", 0), (7, " \n\t ", "x", 0), (8, "one", "x", 0), (9, "ONE", "x", 0), (10, "one two", "x", 0), (None, "one", "x", 0), (None, None, "x", 0),
