@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings import query, table
@@ -9,6 +13,7 @@ from bindings.shared import BOX, FACET_LISTS, INDEX_SQL, ITEMS_SQL, ORIGIN, case
 from cartolex.functions import display
 from cartolex.functions.geo import haversine_km, in_box
 from cartolex.functions.taxonomy import top_of
+from cartolex.operators.bitmaps import count_by_bitmaps, filter_by_bitmaps, write_facet_index
 from cartolex.operators.facets import (
     Filters,
     alias_matches,
@@ -25,6 +30,7 @@ from cartolex.operators.facets import (
 )
 from cartolex.operators.report import group_menu
 from cartolex.plans.search import search
+from cartolex.session import ensure_checkpoint_dir
 from cartolex.sources.dims import country_dim
 from cartolex.sources.export import to_geojson
 from cartolex.sources.snapshots import lookup_entity, region_counts
@@ -144,6 +150,40 @@ def faceted(spark, folder):
     return apply_filters(index(spark, folder), SELECTION).select("id", "kind", "bean_count")
 
 
+SELECTIONS = {
+    "all": (Filters(), "TRUE"),
+    "whole": (SELECTION, SELECTION_SQL),
+    "kinds": (Filters(kinds=["cafe"], sells_online=True), "kind IN ('cafe', 'both') AND sells_online"),
+    "notes": (
+        Filters(flavor_families=["red"], roast_levels=["light"]),
+        "data_status = 'beans' AND list_contains(roast_levels, 'light') AND len(list_filter(flavor_families, lambda f: f = 'red' OR f LIKE 'red/%')) > 0",
+    ),
+    "varieties": (Filters(varieties=["Brand 3"], decaf_only=True), "data_status = 'beans' AND list_contains(varieties, 'brand#3') AND has_decaf"),
+}
+
+
+def _bitmaps(spark, folder) -> str:
+    path = f"{ensure_checkpoint_dir(spark)}/bitmaps-{uuid.uuid4().hex}"
+    write_facet_index(index(spark, folder), path)
+    return path
+
+
+@query("bitmap_filter", f"WITH {INDEX_SQL} SELECT id, kind, bean_count FROM facets WHERE {SELECTIONS['notes'][1]}")
+def bitmap_filter(spark, folder):
+    return filter_by_bitmaps(spark, _bitmaps(spark, folder), SELECTIONS["notes"][0]).select("id", "kind", "bean_count")
+
+
+@query(
+    "bitmap_counts",
+    f"WITH {INDEX_SQL} "
+    + " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS matching, {f.active} AS active FROM facets WHERE {sql}" for name, (f, sql) in SELECTIONS.items()),
+)
+def bitmap_counts(spark, folder):
+    path = _bitmaps(spark, folder)
+    counts = [count_by_bitmaps(spark, path, f).select(F.lit(name).alias("name"), "matching", "active") for name, (f, _) in SELECTIONS.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(
     "count_matching",
     f"WITH {INDEX_SQL} SELECT count(*) AS matching, 8 AS active FROM facets WHERE {SELECTION_SQL}",
