@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -171,14 +172,14 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "
 
     @F.pandas_udf("int")
     def shard_of(ids):
-        return ids.map(lambda x: int(np.searchsorted(bounds, x, "right")))
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), "right").astype(np.int32))
 
     spread = F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int")
     full = rows.select("record_key", "digest", F.lit(1).alias("kind"), "uri", "payload", F.lit(None).cast("long").alias("keeper"))
     full = full.unionByName(notes.select("record_key", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"), "keeper"))
     shard = F.when(F.col("record_key").isNull(), spread).otherwise(shard_of(F.coalesce("record_key", F.lit(0)))) if len(bounds) else F.lit(0)
     full = full.withColumn("shard", shard).select("shard", "record_key", "digest", "kind", "uri", "payload", "keeper")
-    sorted_rows = full.repartition(max(parts, 1), "shard").sortWithinPartitions("shard", "record_key", "digest", "kind")
+    sorted_rows = full.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "record_key", "digest", "kind")
     manifest = stored(sorted_rows.mapInArrow(_write(folder, file_bytes), WRITTEN), "warc-manifest")
     manifest.repartition(max(1, min(parts, 200)), "name").mapInArrow(_publish(folder), WRITTEN).write.mode("overwrite").parquet(f"{folder}/manifest")
     place, path = _filesystem(folder)
