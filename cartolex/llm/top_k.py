@@ -186,7 +186,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
 
     def searched(rows: DataFrame) -> DataFrame:
         dealt = candidates.unionByName(rows.withColumn("kind", F.lit(1))).select("shard", "kind", "id", "v", "least")
-        dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+        dealt = dealt.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "kind")
         return stored(dealt.mapInArrow(_task(width, exact, k), FOUND), "found")
 
     at_home = searched(asked.select(home.alias("shard"), "id", "v", F.lit(NONE).alias("least")))
