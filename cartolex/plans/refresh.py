@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartolex.functions.hashing import content_hash
 from cartolex.functions.numbers import json_bytes
 from cartolex.operators.budget import fit_bytes
-from cartolex.operators.catalog import flatten_catalog_a, flatten_catalog_b, validate_items, validate_menu
+from cartolex.operators.catalog import flatten_catalogs, validate_items, validate_menu
 from cartolex.operators.changes import changed_pages, classify_changes, freshness_due, item_grace, meta_hash
 from cartolex.operators.corpus import pages_hash
 from cartolex.operators.discover import curate
@@ -75,13 +75,8 @@ def _store_items(pages: DataFrame, changed: DataFrame) -> DataFrame:
         .join(origins, "id", "left")
         .select("id", "platform", F.coalesce("origin", F.lit("")).alias("origin"), "pos", F.col("text").alias("body"))
     )
-    products = read_catalog_json(bodies)
-    order = ["pos", "product_pos"]
-    a = products.filter("platform = 'shopify' AND layout = 'a'")
-    b = products.filter("platform = 'woocommerce' AND layout = 'b'")
-    return flatten_catalog_a(a, "id", F.col("origin"), order, description_chars=enums.DESCRIPTION_CHARS).unionByName(
-        flatten_catalog_b(b, "id", order, description_chars=enums.DESCRIPTION_CHARS), allowMissingColumns=True
-    )
+    products = read_catalog_json(bodies).filter("(platform = 'shopify' AND layout = 'a') OR (platform = 'woocommerce' AND layout = 'b')")
+    return flatten_catalogs(products, "id", F.col("origin"), ["pos", "product_pos"], description_chars=enums.DESCRIPTION_CHARS)
 
 
 def refresh_region(
