@@ -21,7 +21,8 @@ from cartolex.operators.discover import (
     multi_location,
     project_candidate,
 )
-from cartolex.operators.grid import bounds_of, geohash_cells, grid_clusters, nearest_region, regions_by_state
+from cartolex.operators.grid import CLUSTER_MAX_ZOOM, bounds_of, geohash_cells, grid_clusters, nearest_region, regions_by_state
+from cartolex.operators.pyramid import cluster_pyramid
 from cartolex.session import ensure_checkpoint_dir
 from cartolex.sources.places import coerce_places, inspect_categories, read_places, scan_bbox, write_places
 from cartolex.vocab.regions import REGIONS
@@ -407,6 +408,20 @@ def clusters(spark, folder):
     return out.select("x", "y", "points", F.round("lng", 9).alias("lng"), F.round("lat", 9).alias("lat"))
 
 
+@query(
+    "map_pyramid",
+    "SELECT CAST(zoom AS INTEGER) AS zoom, (SELECT count(*) FROM customer) AS points, CAST(0 AS BIGINT) AS torn FROM range(15) AS t(zoom)",
+)
+def pyramid(spark, folder):
+    """Points of each level, and its clusters that are not the sum of theirs of the level below."""
+    key = F.col("c_custkey")
+    levels = cluster_pyramid(table(spark, folder, "customer"), "c_custkey", lng(key), lat(key))
+    below = levels.filter("zoom > 0").groupBy((F.col("zoom") - 1).alias("zoom"), F.col("parent_id").alias("cluster_id")).agg(F.sum("points").alias("below"))
+    joined = levels.join(below, ["zoom", "cluster_id"], "full")
+    torn = (F.col("zoom") < CLUSTER_MAX_ZOOM) & ~F.col("points").eqNullSafe(F.col("below"))
+    return joined.groupBy("zoom").agg(F.sum("points").alias("points"), F.count_if(torn).alias("torn"))
+
+
 @query(
     "bounds",
     f"""
