@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindings import query, table
-from bindings.shared import BOX, FACET_LISTS, INDEX_SQL, ITEMS_SQL, ORIGIN, case, index, items, km, values
+from bindings import ORACLES, query, table
+from bindings.shared import BOX, FACET_LISTS, INDEX_SQL, ITEMS_SQL, ORIGIN, case, entities_of, index, indexed, items, km, values
 from cartolex.functions import display
 from cartolex.functions.geo import haversine_km, in_box
 from cartolex.functions.taxonomy import top_of
 from cartolex.operators.bitmaps import count_by_bitmaps, filter_by_bitmaps, write_facet_index
+from cartolex.operators.entities import FACET_SETS, attach_facets
+from cartolex.operators.facet_state import facets_of, member_change, member_counts, merge_counts
 from cartolex.operators.facets import (
     Filters,
     alias_matches,
@@ -81,7 +83,11 @@ SELECT id, kind, data_status, bean_count, sells_online, has_decaf,
        {', '.join(f"array_to_string({c}, '|') AS {c}" for c in FACET_LISTS)} FROM facets""",
 )
 def facets(spark, folder):
-    return index(spark, folder).select(
+    return shown_facets(index(spark, folder))
+
+
+def shown_facets(entities):
+    return entities.select(
         "id",
         "kind",
         "data_status",
@@ -92,6 +98,22 @@ def facets(spark, folder):
     )
 
 
+@query("facets_kept", ORACLES["facets"])
+def facets_kept(spark, folder):
+    """Facets out of counts of an earlier day, when a fifth of the entities had other items, and ten changes since."""
+    entity, group = "entity_id", F.col("entity_id") % 50
+    now = items(spark, folder)
+    # Earlier, items had other processes, some were missing, and some had gone since.
+    earlier = now.filter("NOT is_decaf").withColumn("process", F.lit("other")).unionByName(now.withColumn("varieties", F.array(F.lit("gone"))))
+    counts = merge_counts(entity, member_counts(now.filter(group >= 10), entity), member_counts(earlier.filter(group < 10), entity))
+    before, after = member_counts(earlier.filter(group < 10), entity), member_counts(now.filter(group < 10), entity)
+    change = member_change(before, after, entity)
+    state = merge_counts(entity, counts, *[change.filter(group == n) for n in range(10)])
+    customers, menu, platform = entities_of(spark, folder)
+    kept = attach_facets(customers, facets_of(state, entity, FACET_SETS), menu, entity, platform, FACET_SETS)
+    return shown_facets(indexed(kept))
+
+
 @query(
     "facet_options",
     f"""WITH {INDEX_SQL}

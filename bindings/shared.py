@@ -188,10 +188,19 @@ facets AS (
 def index(spark: SparkSession, folder: str) -> DataFrame:
     from cartolex.operators.entities import compute_facets
 
+    customers, menu, platform = entities_of(spark, folder)
+    return indexed(compute_facets(customers, items(spark, folder), menu, "entity_id", platform))
+
+
+def entities_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Customers as entities, those with a menu, and the platform of each."""
     customers = table(spark, folder, "customer").withColumnRenamed("c_custkey", "entity_id")
     menu = customers.filter("c_acctbal > 0").select("entity_id")
-    platform = F.when(F.col("c_acctbal") > 9000, F.lit("shopify")).otherwise(F.lit("other"))
-    out = compute_facets(customers, items(spark, folder), menu, "entity_id", platform)
+    return customers, menu, F.when(F.col("c_acctbal") > 9000, F.lit("shopify")).otherwise(F.lit("other"))
+
+
+def indexed(out: DataFrame) -> DataFrame:
+    """Entities with facets as rows of the index."""
     upgraded = F.col("c_mktsegment").isin("MACHINERY", "FURNITURE") & F.col("sells_online")
     return out.select(
         F.col("entity_id").alias("id"),

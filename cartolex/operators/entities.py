@@ -174,6 +174,11 @@ def compute_facets(
     url = F.col("url") if url is None else url
     decaf = F.col("is_decaf") if decaf is None else decaf
     per_entity = items.groupBy(entity).agg(*facet_aggregates(sets, unions, F.coalesce(url, F.lit("")) != "", decaf))
+    return attach_facets(entities, per_entity, menu, entity, platform, [*sets, *unions])
+
+
+def attach_facets(entities: DataFrame, per_entity: DataFrame, menu: DataFrame | None, entity: str, platform: Column, names: Sequence[str]) -> DataFrame:
+    """Entities joined to their facets (``bean_count``, ``_any_url``, ``names``, ``has_decaf``), with what follows from them."""
     out = entities.join(per_entity, entity, "left")
     if menu is None:
         out = out.withColumn("_menu", F.lit(False))
@@ -188,7 +193,7 @@ def compute_facets(
             "data_status": status,
             "bean_count": F.coalesce("bean_count", F.lit(0)).cast("bigint"),
             "sells_online": sells,
-            **{n: F.coalesce(F.col(n), _empty()) for n in [*sets, *unions]},
+            **{n: F.coalesce(F.col(n), _empty()) for n in names},
             "has_decaf": F.coalesce("has_decaf", F.lit(False)),
         }
     ).drop("_any_url", "_menu")
