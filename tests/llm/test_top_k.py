@@ -4,9 +4,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cartolex.llm.top_k import NONE, Tree, top_k
+from cartolex.llm.top_k import NONE, Tree, _bounds, _cells, _routes, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank string"
 
@@ -61,11 +62,36 @@ def test_few_rows(spark):
 
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(1)
-    vectors = (rng.normal(size=(4000, 6)) * 40).round() + rng.integers(-4, 5, size=(4000, 1)) * 100
-    tree = Tree(np.arange(4000), vectors)
+    vectors = (rng.normal(size=(8000, 6)) * 40).round() + rng.integers(-4, 5, size=(8000, 1)) * 100
+    tree = Tree(np.arange(8000), vectors)
     queries = (rng.normal(size=(20, 6)) * 50).round()
-    bounds = tree.bounds(queries)
-    for leaf, (a, b, _) in enumerate(tree.leaves):
-        assert (bounds[:, leaf] >= (queries @ tree.vectors[a:b].T).max(1)).all()
-    scores, _ = tree.search(np.full(20, -1), queries, np.full(20, NONE), 5)
-    assert (bounds < scores[:, 4:5]).mean() > 0.3
+    for (a, b), centre, radius in zip(tree.spans, tree.centres, tree.radii, strict=True):
+        assert (_bounds(queries, centre, radius) >= (queries @ tree.vectors[a:b].T).max(1)).all()
+    leaves = (tree.below < 0).sum()
+    scores, found = tree.search(np.full(20, -1), queries, np.full(20, NONE), 5)
+    assert tree.visited < 0.7 * 20 * leaves
+    products = (queries @ vectors.T).astype(int)
+    assert (scores == -np.sort(-products, 1)[:, :5]).all()
+    # With the k-th score known from elsewhere, no more is opened than before, and the same is found.
+    before, tree.visited = tree.visited, 0
+    again, ids = tree.search(np.full(20, -1), queries, scores[:, 4].copy(), 5)
+    assert tree.visited <= before and (again == scores).all() and (ids == found).all()
+
+
+def test_cells_are_not_asked_in_vain(spark):
+    rnd = random.Random(9)
+    towns = [[500.0, 0, 0], [0, 500.0, 0], [0, 0, 500.0], [-500.0, 0, 0]]
+    data = [(i, [c + rnd.gauss(0, 1) for c in towns[0 if i % 3 else rnd.randrange(4)]], "x", "y") for i in range(400)]
+    centres = _cells(np.array([np.floor(np.array(v) * 64) for _, v, *_ in data]), 8)
+    assert len(centres) == 8
+    routes = _routes(3, centres, np.full(8, 640.0), np.arange(8), np.ones(8, int), False)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[32000, 0, 0]]), pa.array([31000 * 32000])], ["id", "v", "least"])
+    assert sum(b.num_rows for b in routes([batch])) < 7
+    df = spark.createDataFrame(data, SCHEMA)
+    assert sorted(map(tuple, top_k(df, df.filter("vec_id % 3 = 0"), 6, 64, 30).collect())) == brute(data, 6, 64)
+
+
+def test_equal_vectors_fill_one_cell(spark):
+    data = [(i, [1.0, 2.0], "x", "y") for i in range(200)]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert sorted(map(tuple, top_k(df, df.filter("vec_id % 3 = 0"), 4, 64, 16).collect())) == brute(data, 4, 64)
