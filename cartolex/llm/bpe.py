@@ -251,7 +251,8 @@ def read_file(path: str) -> bytes:
 def encode(documents: DataFrame, path: str, pattern: str, words: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with ``ids`` (array of int), the tokens of the whole ``text`` without special tokens.
 
-    ``words`` is a quicker regular expression whose matches end only where a match of ``pattern`` ends too; see WORDS. A null or empty text has no tokens. All other columns stay; one named like ``ids`` is replaced.
+    ``words`` is a quicker regular expression whose matches end only where a match of ``pattern`` ends too; see WORDS. A null or empty text has no tokens.
+    Repeated rows are encoded one by one, an empty table gives no rows. All other columns stay; one named like ``ids`` is replaced.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -268,9 +269,9 @@ def encode(documents: DataFrame, path: str, pattern: str, words: str | None = No
                 values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), values)], [*keep, ids])
 
-    frame = documents.select(*(F.col(f"`{c}`") for c in keep)).withColumn(text, F.col(f"`{text}`").cast("string"))
-    schema = frame.withColumn(ids, F.lit(None).cast("array<int>")).schema
-    return frame.mapInArrow(lean(task), schema)
+    kept = [F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in keep]
+    schema = documents.select(*kept, F.lit(None).cast("array<int>").alias(ids)).schema
+    return documents.select(*kept).mapInArrow(lean(task), schema)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -293,5 +294,5 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -
             found = [b"".join(map(find, values[a:b].tolist())) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*keep, to])
 
-    frame = frame.select(*(F.col(f"`{c}`") for c in keep))
-    return frame.mapInArrow(lean(task), frame.withColumn(to, F.lit(None).cast("binary")).schema)
+    kept = [F.col(f"`{c}`") for c in keep]
+    return frame.select(*kept).mapInArrow(lean(task), frame.select(*kept, F.lit(None).cast("binary").alias(to)).schema)

@@ -64,8 +64,10 @@ def count_tokens(documents: DataFrame, path: str, cache: str | None = None, doc_
     """doc_id, n_bytes (UTF-8) and n_tokens of each row's whole text, as the tokenizer's library counts.
 
     No begin, end or added special tokens, no truncation. Null text is empty; rows that share an id are counted by their
-    own texts; a null id is kept. ``cache`` is a folder that all executors reach; without one, the counts are kept for this
-    run only. Building the result appends the misses, so a later call with the same cache encodes only new texts.
+    own texts, repeated rows come back as often as they are there, and a null id is kept, also beside others. An empty table
+    gives no rows. Other columns are not read, whatever their names. ``cache`` is a folder that all executors reach; without
+    one, the counts are kept for this run only. Building the result appends the misses, so a later call with the same cache
+    encodes only new texts.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -73,8 +75,8 @@ def count_tokens(documents: DataFrame, path: str, cache: str | None = None, doc_
     version, kind = version_of(path, content), "model" if path.endswith(".model") else "json"
     held = spark.sparkContext.broadcast(content)
     cache = cache or shared_folder(spark, "token-counts")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), body.alias("text"))
     # Without an id, rows are told apart by content alone.
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("row"), "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("content"))
     slim = docs.select("doc_id", "row", "content", F.octet_length("text").cast("long").alias("n_bytes"))

@@ -64,3 +64,12 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert encode(df, PATH, public.PATTERN).columns == ["doc_id", "text", "ids"]
     assert encode(df, PATH, public.PATTERN).count() == 0
+
+
+def test_clashing_names_and_repeated_rows(spark, library):
+    rows = [(1, "Hello world", "old", "old", 5), (1, "Hello world", "old", "old", 5), (None, None, None, None, None), (2, "", "x", "y", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded string, `n.tokens` int")
+    got = decode(encode(df, PATH, public.PATTERN, WORDS), PATH)
+    assert got.columns == ["doc_id", "text", "n.tokens", "ids", "decoded"]
+    want = [(d, t, n, library.encode_ordinary(t or ""), (t or "").encode()) for d, t, _, _, n in rows]
+    assert sorted(((r[0], r[1], r[2], list(r[3]), bytes(r[4])) for r in got.collect()), key=repr) == sorted(want, key=repr)

@@ -49,3 +49,13 @@ def test_cache_is_used_and_extended(spark, tmp_path):
 
 def test_empty_table(spark):
     assert count_tokens(spark.createDataFrame([], SCHEMA), public.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_names_with_dots_and_clashes(spark):
+    names = "`doc.id` long, `the.text` string, doc_id string, text string, row string, content string, n_bytes string, n_tokens string"
+    rows = [(d, t, "q", "other words", "r", "c", "b", "n") for d, t, *_ in ROWS]
+    df = spark.createDataFrame(rows, names)
+    path, count = public.path("piece_bpe_32k.model"), counters()["piece_bpe_32k.model"]
+    got = count_tokens(df, path, doc_id="doc.id", text="the.text")
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((d, len((t or "").encode()), count(t or "")) for d, t, *_ in ROWS), key=repr)
