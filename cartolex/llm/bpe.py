@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cartolex.llm.common import flat, lean, pieces, ship
 
@@ -248,6 +249,16 @@ def read_file(path: str) -> bytes:
     return content
 
 
+def _plain(n: int) -> list[str]:
+    return [f"c{i}" for i in range(n)]
+
+
+def _mapped(frame: DataFrame, task, schema: StructType) -> DataFrame:
+    """``mapInArrow`` under plain names, since it resolves a dot in a column's name as a field."""
+    inside = StructType([StructField(n, f.dataType) for n, f in zip(_plain(len(schema)), schema, strict=True)])
+    return frame.toDF(*_plain(len(frame.columns))).mapInArrow(task, inside).toDF(*schema.names)
+
+
 def encode(documents: DataFrame, path: str, pattern: str, words: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """The rows with ``ids`` (array of int), the tokens of the whole ``text`` without special tokens.
 
@@ -267,11 +278,11 @@ def encode(documents: DataFrame, path: str, pattern: str, words: str | None = No
                 found = own.encode(part.column(place).fill_null("").to_pylist())
                 at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), values)], [*keep, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(at), values)], _plain(len(keep) + 1))
 
     kept = [F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in keep]
     schema = documents.select(*kept, F.lit(None).cast("array<int>").alias(ids)).schema
-    return documents.select(*kept).mapInArrow(lean(task), schema)
+    return _mapped(documents.select(*kept), lean(task), schema)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -292,7 +303,7 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -
             values = column.flatten().to_numpy(zero_copy_only=False)
             at = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
             found = [b"".join(map(find, values[a:b].tolist())) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*keep, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], _plain(len(keep) + 1))
 
     kept = [F.col(f"`{c}`") for c in keep]
-    return frame.select(*kept).mapInArrow(lean(task), frame.select(*kept, F.lit(None).cast("binary").alias(to)).schema)
+    return _mapped(frame.select(*kept), lean(task), frame.select(*kept, F.lit(None).cast("binary").alias(to)).schema)
