@@ -1,8 +1,11 @@
 """Text and links of broken pages, as browsers read them."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
-from cartolex.functions.markup import attribute, page_parts, parsed
+from cartolex.functions.markup import attribute, page_parts, parsed, parts_of
 
 TEXTS = {
     "<p>one<p>two": "one\ntwo",
@@ -62,3 +65,16 @@ def test_long_pages_take_linear_time():
 def test_rows(spark):
     got = spark.createDataFrame([(1, "<p>a<p>b"), (2, None), (3, "")], "id int, html string").select("id", parsed("html").alias("p")).select("id", "p.text", "p.links")
     assert sorted(map(tuple, got.collect())) == [(1, "a\nb", []), (2, None, None), (3, "", [])]
+
+
+def test_a_batch_is_never_whole_as_python_objects():
+    page = "".join(f"<li><a href='/p/{i}'>link number {i}" for i in range(100))
+    pages = pa.array([None, *[f"{page} {i}" for i in range(1500)]], pa.string())
+    tracemalloc.start()
+    found = parts_of(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < pages.nbytes and len(found) == 1501 and found[0].as_py() is None
+    text, links = page_parts(f"{page} 1499")
+    assert found[1500].as_py() == {"text": text, "links": [{"href": h, "text": t} for h, t in links]}
+    assert len(parts_of(pages.slice(0, 0))) == 0
