@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from cartolex.operators import facet_state as state
 from cartolex.operators.entities import FACET_SETS, compute_facets
 
+TINY = {
+    "customer": "SELECT range AS c_custkey, 'c' AS c_name, 1 AS c_nationkey, 9500.0::DOUBLE AS c_acctbal, 'BUILDING' AS c_mktsegment FROM range(60)",
+    "supplier": "SELECT 0::BIGINT AS s_suppkey, 's' AS s_name, 3 AS s_nationkey, 0.0::DOUBLE AS s_acctbal",
+    "part": "SELECT 0::BIGINT AS p_partkey, 'red ring' AS p_name, 'B' AS p_brand, 'SMALL' AS p_type, 1 AS p_size, 2.0::DOUBLE AS p_retailprice",
+    "orders": "SELECT range AS o_orderkey, range AS o_custkey, 'F' AS o_orderstatus, '2-HIGH' AS o_orderpriority FROM range(60)",
+    "lineitem": "SELECT range AS l_orderkey, 0::BIGINT AS l_partkey, 0::BIGINT AS l_suppkey, 1 AS l_linenumber, 50.0::DOUBLE AS l_quantity, CASE WHEN range % 2 = 0 THEN 'R' ELSE 'N' END AS l_returnflag, 'O' AS l_linestatus FROM range(60)",
+}
 SCHEMA = "entity_id int, roast_level string, process string, countries array<string>, flavor_families array<string>, varieties array<string>, url string, is_decaf boolean"
 
 
@@ -90,3 +97,15 @@ def test_a_run_again_and_a_run_that_dies(spark, tmp_path):
     assert as_dict(state.read_state(spark, path, "entity_id")) == {}
     state.compact(spark, path, "entity_id")
     assert as_dict(state.read_state(spark, path, "entity_id")) == {}
+
+
+def test_the_change_is_worked_out_once(spark, tmp_path):
+    """Ten changes out of one table: the query joins the lines for the counts and for the change, not for each of the ten."""
+    import duckdb
+
+    from bindings import QUERIES
+
+    for t in ("customer", "supplier", "part", "orders", "lineitem"):
+        duckdb.sql(f"COPY ({TINY[t]}) TO '{tmp_path}/{t}.parquet'")
+    plan = QUERIES["facets_kept"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey") and plan.count("Relation") <= 30
