@@ -103,9 +103,9 @@ def test_the_change_is_worked_out_once(spark, tmp_path):
     """Ten changes out of one table: the query joins the lines for the counts and for the change, not for each of the ten."""
     import duckdb
 
-    from bindings import QUERIES
+    import __spark_entry__ as entry
 
     for t in ("customer", "supplier", "part", "orders", "lineitem"):
         duckdb.sql(f"COPY ({TINY[t]}) TO '{tmp_path}/{t}.parquet'")
-    plan = QUERIES["facets_kept"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    plan = entry.queries()["facets_kept"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_partkey") and plan.count("Relation") <= 30
