@@ -23,14 +23,15 @@ from pyspark.sql.types import StructField, StructType
 from cartolex.llm.common import flat, lean, pieces, ship
 
 #: Bytes of the longest piece that is merged in lockstep with others, and pieces merged at a time.
-WIDE, ROWS = 32, 20_000
+WIDE, ROWS = 32, 4_000
 #: Words, and pieces of words, whose ids a worker remembers.
 REMEMBERED = 100_000
 #: Bytes of text taken at a time; characters of a text split at a time.
 CHUNK, SPLIT = 2 << 20, 4 << 20
 #: A vocabulary larger than this is no broadcast.
 LARGEST_FILE = 64 << 20
-NONE = np.int64(1) << 62
+#: Bits of a position in a piece; the rank of a leaf stands before them.
+BITS = (WIDE - 1).bit_length()
 
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Words with their blank, and white space, of a pattern that never joins two of them (as that of the public rank files).
@@ -49,7 +50,9 @@ class Codec:
         self.ranks = read_ranks(content)
         self.pattern = regex.compile(pattern)
         self.words = re.compile(words) if words else self.pattern
-        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.kind = np.int64 if max(self.ranks.values(), default=0) >> 31 - BITS else np.int32
+        self.none = np.iinfo(self.kind).max
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], self.kind)
         self.pairs = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -57,16 +60,17 @@ class Codec:
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
         self.keys = np.sort(np.fromiter(self.pairs, np.int64, len(self.pairs)))
-        self.merged = np.fromiter((self.pairs[k] for k in self.keys.tolist()), np.int64, len(self.pairs))
+        self.merged = np.fromiter((self.pairs[k] for k in self.keys.tolist()), self.kind, len(self.pairs))
+        self.whole = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         self.known: dict[str, bytes] = {}
         self.merges: dict[str, bytes] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair makes, or -1."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.merged[at], -1)
+        return np.where(self.keys[at] == key, self.merged[at], self.kind(-1))
 
     # ---- merging
 
@@ -75,15 +79,15 @@ class Codec:
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
-        place = np.arange(width)
+        place = np.arange(width, dtype=self.kind)
         token = self.single[raw]
         after = np.tile(place + 1, (n, 1))
         before = np.tile(place - 1, (n, 1))
-        tree = np.full((n, 2 * width), NONE)
+        tree = np.full((n, 2 * width), self.none, self.kind)
         if width > 1:
             leaf = self.rank(token[:, :-1].reshape(-1), token[:, 1:].reshape(-1)).reshape(n, -1)
             leaf[place[1:][None, :] >= size[:, None]] = -1
-            tree[:, width : 2 * width - 1] = np.where(leaf < 0, NONE, leaf << 20 | place[:-1])
+            tree[:, width : 2 * width - 1] = np.where(leaf < 0, self.none, leaf << BITS | place[:-1])
         for k in range(width - 1, 0, -1):
             tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
         live = place[None, :] < size[:, None]
@@ -98,27 +102,27 @@ class Codec:
             """The leaf of the pair that begins at a live position."""
             to = after[rows, at]
             there = to < size[rows]
-            rank = np.where(there, self.rank(token[rows, at], token[rows, np.where(there, to, at)]), -1)
-            return np.where(rank < 0, NONE, rank << 20 | at)
+            rank = np.where(there, self.rank(token[rows, at], token[rows, np.where(there, to, at)]), self.kind(-1))
+            return np.where(rank < 0, self.none, rank << BITS | at)
 
-        rows = np.flatnonzero(tree[:, 1] < NONE)
+        rows = np.flatnonzero(tree[:, 1] < self.none)
         while len(rows):
             least = tree[rows, 1]
-            at = least & ((1 << 20) - 1)
+            at = least & ((1 << BITS) - 1)
             dead = after[rows, at]
-            token[rows, at] = least >> 20
+            token[rows, at] = least >> BITS
             live[rows, dead] = False
             to = after[rows, dead]
             after[rows, at] = to
             inside = to < size[rows]
             before[rows[inside], to[inside]] = at[inside]
-            update(rows, dead, NONE)
+            update(rows, dead, self.none)
             update(rows, at, pair(rows, at))
             left = before[rows, at]
             has = left >= 0
             if has.any():
                 update(rows[has], left[has], pair(rows[has], left[has]))
-            rows = rows[tree[rows, 1] < NONE]
+            rows = rows[tree[rows, 1] < self.none]
         ids = token[live].astype("<i4").tobytes()
         ends = np.cumsum(live.sum(1)) * 4
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
@@ -164,30 +168,33 @@ class Codec:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
         split = {w: self.pattern.findall(w) for w in words}
-        new = {p for own in split.values() for p in own} - self.merges.keys()
+        found = set().union(*split.values())
+        new = found.difference(self.merges)
         if len(self.merges) + len(new) > REMEMBERED:
             self.merges.clear()
-            new = {p for own in split.values() for p in own}
+            new = found
         self.merge(new)
-        for word, own in split.items():
-            self.known[word] = self.merges[word] if len(own) == 1 else b"".join([self.merges[p] for p in own])
+        merges = self.merges
+        self.known.update({word: merges[word] if len(own) == 1 else b"".join([merges[p] for p in own]) for word, own in split.items()})
 
     def merge(self, new: set[str]) -> None:
         """Find the ids of pieces not met before."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in new:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
+        by_width: dict[int, tuple[list[str], list[bytes]]] = {1 << k: ([], []) for k in range(WIDE.bit_length())}
+        dealt = [by_width[1 << (n - 1).bit_length()] if n else None for n in range(WIDE + 1)]
+        listed = list(new)
+        raws = [p.encode() for p in listed]
+        for piece, raw, whole in zip(listed, raws, map(self.whole.get, raws), strict=True):
             if whole is not None:
-                self.merges[piece] = whole.to_bytes(4, "little")
+                self.merges[piece] = whole
             elif len(raw) > WIDE:
                 self.merges[piece] = self.alone(raw)
             else:
-                by_width.setdefault(1 << (len(raw) - 1).bit_length(), []).append((piece, raw))
-        for width, group in by_width.items():
+                names, group = dealt[len(raw)]
+                names.append(piece)
+                group.append(raw)
+        for width, (names, group) in by_width.items():
             for k in range(0, len(group), ROWS):
-                part = group[k : k + ROWS]
-                self.merges.update(zip((p for p, _ in part), self.together([r for _, r in part], width), strict=True))
+                self.merges.update(zip(names[k : k + ROWS], self.together(group[k : k + ROWS], width), strict=True))
 
     # ---- texts
 
@@ -214,7 +221,7 @@ class Codec:
 
     def _flush(self, held: list[list[list[str]]]) -> list[bytes]:
         words = set().union(*(some for own in held for some in own))
-        new = words - self.known.keys()
+        new = words.difference(self.known)
         if new:
             self.learn(new if len(self.known) + len(new) <= REMEMBERED else words)
         find = self.known.__getitem__

@@ -3,6 +3,7 @@
 import base64
 import random
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 import tiktoken
@@ -73,3 +74,19 @@ def test_clashing_names_and_repeated_rows(spark, library):
     assert got.columns == ["doc_id", "text", "n.tokens", "ids", "decoded"]
     want = [(d, t, n, library.encode_ordinary(t or ""), (t or "").encode()) for d, t, _, _, n in rows]
     assert sorted(((r[0], r[1], r[2], list(r[3]), bytes(r[4])) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_leaves_are_as_narrow_as_the_ranks_allow():
+    rows = [(bytes([i]), i) for i in range(256)] + [(b"ab", 256), (b"bc", 257), (b"abc", 258), (b"cab", 259)]
+    far = 1 << 27
+    texts = ["abcab cabbc", "", "a" * 20 + "bcab" * 30, "éabc"]
+
+    def coded(by):
+        content = b"\n".join(base64.b64encode(t) + b" %d" % (r + by) for t, r in rows)
+        own = Codec(content, r" ?[^ ]+| ")
+        return own.kind, [np.frombuffer(x, "<i4").tolist() for x in own.encode(texts)]
+
+    narrow, near_ids = coded(0)
+    wide, far_ids = coded(far)
+    assert (narrow, wide) == (np.int32, np.int64)
+    assert [[i - far for i in ids] for ids in far_ids] == near_ids
