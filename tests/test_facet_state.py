@@ -109,3 +109,14 @@ def test_the_change_is_worked_out_once(spark, tmp_path):
         duckdb.sql(f"COPY ({TINY[t]}) TO '{tmp_path}/{t}.parquet'")
     plan = entry.queries()["facets_kept"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_partkey") and plan.count("Relation") <= 30
+
+
+def test_merged_counts_are_shuffled_once(spark):
+    """What is summed for facets is dealt by entity, so that facets take it from where it is."""
+    schema = "entity_id int, facet string, member string, n bigint"
+    one, other = (spark.createDataFrame([(e, "processes", m, n) for e in range(5)], schema) for m, n in (("honey", 2), ("washed", 1)))
+    merged = state.merge_counts("entity_id", one, other, one.withColumn("n", -F.col("n")), together=True)
+    facets = state.facets_of(merged, "entity_id", ["processes"])
+    plan = facets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.entity_id, r.processes) for r in facets.collect()) == [(e, ["washed"]) for e in range(5)]
