@@ -8,8 +8,10 @@ from cartolex.functions import html, text
 from cartolex.functions.html import anchors, fragment_text, resolve_links, visible_text
 from cartolex.functions.text import clean_url, host_of, normalize_text, normalize_variety, singularize
 from cartolex.operators.entities import note_families
-from cartolex.operators.lexicon import gazetteer_scan, lexicon_map, lookup_name
+from cartolex.operators.keep import computed
+from cartolex.operators.lexicon import gazetteer_matches, gazetteer_scan, lexicon_map, lookup_name
 from cartolex.sources.dims import as_lexicon, country_lexicon, note_lexicon, read_lexicon
+from cartolex.vocab import rules
 
 
 def one(spark, fn, *values):
@@ -200,3 +202,39 @@ def test_references(spark):
 def test_compatibility_forms(spark):
     df = spark.createDataFrame([("Swiss Water™ ½ lb Ⅷ ㎏ \U0001d400bc",)], "p string")
     assert df.select(text.normalize_text(F.col("p"))).first()[0] == "swiss watertm 1 2 lb viii kg abc"
+
+
+def test_references_are_read_alike_by_both_ways(spark):
+    """Texts whose references are all usual ones go a shorter way; the others' table is a constant, not made for each row."""
+    usual = {"a &amp; b": "a & b", "&am&amp;p; x": "&am&p; x", "&amp;lt;&lt;": "&lt;<", "&#39;&quot;&nbsp;&gt;&apos;": "'\" >'", "none": "none"}
+    others = {"&eacute;&amp;#39;": "é&#39;", "&#x41;&lt;": "A<", "& &&amp;": "& &&", "&bogus; &amp;": "&bogus; &", "&amp": "&amp"}
+    assert {t: one(spark, html.decode_entities, t) for t in usual | others} == usual | others
+    plan = spark.createDataFrame([("x",)], "t string").select(html.decode_entities(F.col("t")))
+    assert "map_from_arrays(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("patterns", [[p for p, _ in r] for r in (rules.ROAST_RULES, rules.PROCESS_RULES, rules.VARIETY_RULES)] + [[r"\bab|cd", r"\bx\b"], ["a[|]b", "c"]])
+def test_one_pattern_for_several(spark, patterns):
+    rnd = random.Random(5)
+    words = "gesha sl 28 sl28 bourbon barrel mundo novo wet hulled honey process natural naturally omni medium dark light city xcd ab a|b c x geshas".split()
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 5))) for _ in range(300)]
+    some, single = F.col("t").rlike(text.any_of(patterns)), [F.col("t").rlike(p) for p in patterns]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", some.alias("some"), F.array_contains(F.array(*single), True).alias("any"))
+    assert [r.t for r in found.collect() if r["some"] != r["any"]] == []
+    assert text.any_of([r"(a)\1", "b"]) is None and text.any_of(["a"]) is None
+
+
+def test_computed_columns_are_compiled(spark):
+    """Array functions would make a generator run uncompiled: they are worked out before it."""
+    df = computed(spark.createDataFrame([("A",)], "t string"), low=text.trim_all(F.lower("t")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Generate" in line and "lambda" in line]
+    assert [tuple(r) for r in df.collect()] == [("A", "a")]
+
+
+def test_gazetteer_builds_only_runs_that_can_match(spark):
+    places = as_lexicon(spark.createDataFrame([("Costa Rica", "CR"), ("Peru", "PE")], "phrase string, value string"))
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["from costa rica and peru", "costa", "rica costa", "peruvian", None, ""])], "id long, t string")
+    hits = gazetteer_matches(texts, "id", F.col("t"), places)
+    assert sorted(tuple(r) for r in hits.select("id", "start", "size", "value").collect()) == [(0, 1, 2, "CR"), (0, 4, 1, "PE")]
+    assert "LeftSemi" in hits._jdf.queryExecution().optimizedPlan().toString()
